@@ -174,3 +174,51 @@ ORACLES = {
 
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLES.items()}
+
+
+# ---------------------------------------------------------------- text queries
+def strip_html_sql(x: str) -> str:
+    s = f"regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g')"
+    s = f"regexp_replace({s}, '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g')"
+    s = f"regexp_replace({s}, '(?s)<!--.*?-->', '', 'g')"
+    s = f"regexp_replace({s}, '(?is)<![^>]*>', '', 'g')"
+    s = f"regexp_replace({s}, '(?s)<[^>]+>', '', 'g')"
+    for ent, ch in [("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"),
+                    ("&apos;", "''''"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")]:
+        s = f"replace({s}, '{ent}', {ch})"
+    return s
+
+
+def txt_remove_noise() -> str:
+    return f"SELECT doc_id, {remove_noise_sql('text')} AS clean FROM documents"
+
+
+def txt_sentences() -> str:
+    return f"""WITH s AS (SELECT doc_id, {split_sentences_sql(remove_noise_sql('text'))} AS s FROM documents)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, array_to_string(s, ' | ') AS sentences FROM s"""
+
+
+def txt_preprocess() -> str:
+    return ("WITH " + raw_reports_cte() + f"""
+SELECT id, {format_sections_sql(preprocess_sql('summary'))} AS summary,
+       {format_sections_sql(preprocess_sql('description'))} AS description FROM raw""")
+
+
+def reports_split() -> str:
+    return ("WITH " + text_reports_cte() +
+            "\nSELECT id, disc_id, pos, split, CAST(len(tokens) AS BIGINT) AS n_tokens FROM r")
+
+
+def doc_sections() -> str:
+    return f"""WITH p AS (SELECT page_id AS file_id, {preprocess_sql(strip_html_sql('html'))} AS tokens FROM pages),
+k AS (SELECT * FROM p WHERE tokens IS NOT NULL QUALIFY file_id = MIN(file_id) OVER (PARTITION BY tokens))
+SELECT file_id, CAST(len(tokens) AS BIGINT) AS n_sentences, {format_sections_sql('tokens')} AS tokens FROM k"""
+
+
+ORACLES.update({
+    "txt_remove_noise": txt_remove_noise,
+    "txt_sentences": txt_sentences,
+    "txt_preprocess": txt_preprocess,
+    "reports_split": reports_split,
+    "doc_sections": doc_sections,
+})

@@ -41,3 +41,11 @@ REGISTRY = {
     "dense_ranked": dense_ranked,
     "dense_ranked_blocks": dense_ranked_blocks,
 }
+
+
+def _merge():
+    from dupescope.plans import text_queries
+    REGISTRY.update(text_queries.REGISTRY)
+
+
+_merge()
