@@ -16,12 +16,16 @@ from dupescope.functions.lexicon import STOP_WORDS, VERB_LEMMAS
 WORD = r"[\p{L}\p{N}_]"
 
 # FIXED VALUES: cleaning patterns in pipeline order (Java regex dialect).
+# The digit / form-feed patterns are anchored at a word start by a look-behind:
+# the original's leftmost match always starts there, so results are the same,
+# while the search stays linear in the word length.
 URL_PATTERN = r"(?:https|http)?://[\p{L}\p{N}_./?=&%]*[\p{L}\p{N}_]"
-DIGIT_WORD_PATTERN = WORD + r"*\p{Nd}" + WORD + "*"
-FORM_FEED_WORD_PATTERN = WORD + r"*\f" + WORD + "*"
+WORD_START = r"(?<![\p{L}\p{N}_])"
+DIGIT_WORD_PATTERN = WORD_START + WORD + r"*?\p{Nd}" + WORD + "*"
+FORM_FEED_WORD_PATTERN = WORD_START + WORD + r"*?\f" + WORD + "*"
 PAREN_PATTERN = r"(?d)\(.*?\)"
 BRACKET_PAREN_PATTERN = r"(?d)\[.*\]\)"
-NON_ASCII_PATTERN = r"[^\x00-\x7F]"
+NON_ASCII_PATTERN = r"[^\x00-\x7F]+"
 SENTENCE_END_PATTERN = r"([.!?])[ \t\n\f\r\x0B]+"
 SENTENCE_MARK = "\u0001"
 TOKEN_PATTERN = r"[a-z_]+"
@@ -36,8 +40,11 @@ def _c(x) -> Column:
 
 
 def remove_urls(c) -> Column:
-    """TXT-1: URLs vanish (empty replacement); ``ftp://x`` leaves ``ftp``."""
-    return F.regexp_replace(_c(c), URL_PATTERN, "")
+    """TXT-1: URLs vanish (empty replacement); ``ftp://x`` leaves ``ftp``.
+    The ``://`` guard reads the input twice, so it is only cheap (and only
+    used) on the first step of the chain, whose input is a plain column."""
+    c = _c(c)
+    return F.when(F.instr(c, "://") > 0, F.regexp_replace(c, URL_PATTERN, "")).otherwise(c)
 
 
 def remove_digit_words(c) -> Column:
@@ -98,27 +105,25 @@ def tokenize(c) -> Column:
     )
 
 
-def _stop_array() -> Column:
-    return F.array(*[F.lit(w) for w in STOP_WORDS])
+def _word_array(words) -> Column:
+    """A literal string array built from one string (one JVM call; Catalyst
+    folds ``split`` of a literal into an array constant)."""
+    return F.split(F.lit(" ".join(words)), " ")
 
 
 def remove_stop_words(tokens) -> Column:
-    """TXT-11: drop stop words, keeping order and repeats (not array_except)."""
-    stops = _stop_array()
-    return F.filter(_c(tokens), lambda t: ~F.array_contains(stops, t))
-
-
-def _lemma_map() -> Column:
-    items = []
-    for k, v in VERB_LEMMAS.items():
-        items += [F.lit(k), F.lit(v)]
-    return F.create_map(*items)
+    """TXT-11: drop stop words, keeping order and repeats (not array_except).
+    ``isin`` over a long literal list is planned as a hash ``InSet``."""
+    return F.filter(_c(tokens), lambda t: ~t.isin(STOP_WORDS))
 
 
 def lemmatize(tokens) -> Column:
-    """TXT-12: verb base form from the fixed lemma table; unknown -> itself."""
-    m = _lemma_map()
-    return F.transform(_c(tokens), lambda t: F.coalesce(F.try_element_at(m, t), t))
+    """TXT-12: verb base form from the fixed lemma table; unknown -> itself.
+    A hash ``InSet`` test guards the (linear) map lookup, so the common
+    unknown token costs one hash probe."""
+    lemmas = F.map_from_arrays(_word_array(VERB_LEMMAS.keys()), _word_array(VERB_LEMMAS.values()))
+    keys = list(VERB_LEMMAS)
+    return F.transform(_c(tokens), lambda t: F.when(t.isin(keys), F.try_element_at(lemmas, t)).otherwise(t))
 
 
 def normalize_sentence(sentence) -> Column:
@@ -129,7 +134,8 @@ def normalize_sentence(sentence) -> Column:
 def keep_long_sentences(sections) -> Column:
     """TXT-13: keep sentences with >= 3 tokens; nothing left -> null."""
     kept = F.filter(_c(sections), lambda s: F.size(s) >= MIN_SENTENCE_TOKENS)
-    return F.when(F.size(kept) > 0, kept)
+    # one reference to ``kept``: wrap, drop the wrapper when empty, unwrap
+    return F.try_element_at(F.filter(F.array(kept), lambda a: F.size(a) > 0), F.lit(1))
 
 
 def preprocess(c) -> Column:

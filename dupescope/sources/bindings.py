@@ -24,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy row work (regex chains) enough tasks.
+
+    A scan yields one task per file split; a single large row group would run
+    all text cleaning on one core. When the scan has fewer partitions than the
+    cluster's parallelism, hash-partition by ``key`` (deterministic on retry);
+    otherwise (the normal case at scale) leave the scan as it is.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
+
+
 def cluster_key(text_col) -> F.Column:
     letters = F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-z]+", "")
     return F.substring(letters, 1, CLUSTER_KEY_LETTERS)
@@ -37,7 +51,7 @@ def assign_clusters(df: DataFrame, key_col: str, id_col: str = "id", out_col: st
 
 def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, summary, description, disc_id) from ``documents``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     nl = F.instr(F.col("text"), "\n")
     reports = docs.select(
         F.col("doc_id").alias("id"),
@@ -58,14 +72,13 @@ def dense_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_sentences_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(section_id, sent_idx, text) from ``conversations``."""
-    return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("section_id"), F.col("turn").alias("sent_idx"), "text"
-    )
+    conv = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    return conv.select(F.col("conv_id").alias("section_id"), F.col("turn").alias("sent_idx"), "text")
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, path, ext, content) from ``pages``; every page is an HTML file."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
     return pages.select(
         F.col("page_id").alias("file_id"),
         F.col("url").alias("path"),
