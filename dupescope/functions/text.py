@@ -152,3 +152,33 @@ def join_tokens(tokens) -> Column:
 def format_sections(sections) -> Column:
     """Readable text form of array<array<string>>: tokens by space, sentences by ' | '."""
     return F.array_join(F.transform(_c(sections), lambda s: F.array_join(s, " ")), " | ")
+
+
+# ---------------------------------------------------------------- DataFrame form
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def normalize_sections_expr(sentences_col: str) -> str:
+    """TXT-10..13 over a named ``array<string>`` column, as one SQL expression
+    (one JVM call to build; ``IN`` lists are planned as hash ``InSet``)."""
+    stops = ", ".join(_sql_str(w) for w in STOP_WORDS)
+    keys = ", ".join(_sql_str(k) for k in VERB_LEMMAS)
+    pairs = ", ".join(f"{_sql_str(k)}, {_sql_str(v)}" for k, v in VERB_LEMMAS.items())
+    toks = (f"filter(regexp_extract_all(s, '{TOKEN_PATTERN}', 0), t -> length(t) >= {MIN_TOKEN_LEN} "
+            f"AND length(t) <= {MAX_TOKEN_LEN} AND NOT startswith(t, '_') AND NOT t IN ({stops}))")
+    norm = f"transform({toks}, t -> CASE WHEN t IN ({keys}) THEN try_element_at(map({pairs}), t) ELSE t END)"
+    kept = f"filter(transform(`{sentences_col}`, s -> {norm}), s -> size(s) >= {MIN_SENTENCE_TOKENS})"
+    return f"try_element_at(filter(array({kept}), a -> size(a) > 0), 1)"
+
+
+def with_preprocessed(df, mapping: dict[str, Column | str]):
+    """TXT-14 for several columns: ``{out_col: input text column}``.
+
+    Cleaning and sentence split are Column expressions; the token stage is
+    the SQL form above, applied to an intermediate sentences column.
+    """
+    tmp = {f"_sents_{i}": split_sentences(remove_noise(src)) for i, src in enumerate(mapping.values())}
+    out = df.withColumns(tmp)
+    exprs = {o: F.expr(normalize_sections_expr(t)) for o, t in zip(mapping, tmp)}
+    return out.withColumns(exprs).drop(*tmp)

@@ -13,8 +13,7 @@ from dupescope.operators.positions import positional_split, with_positions
 def preprocess_reports(raw: DataFrame) -> DataFrame:
     """ROW-1 + ROW-2: clean both text fields (null stays null) and keep a
     report when either field survives."""
-    out = raw.withColumns({"summary": T.preprocess(F.col("summary")),
-                           "description": T.preprocess(F.col("description"))})
+    out = T.with_preprocessed(raw, {"summary": F.col("summary"), "description": F.col("description")})
     return out.filter(F.col("summary").isNotNull() | F.col("description").isNotNull())
 
 
