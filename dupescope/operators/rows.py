@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dupescope.functions import text as T
 from dupescope.functions.hashing import h
 from dupescope.operators.positions import positional_split, with_positions
+from dupescope.session import materialize
 
 
 def preprocess_reports(raw: DataFrame) -> DataFrame:
@@ -40,18 +41,18 @@ def prepare_reports(raw: DataFrame, test_size: float = 0.1, order_cols: list[str
 
     Output: id, disc_id, summary, description, pos, split, tokens.
     """
-    cleaned = preprocess_reports(raw)
+    cleaned = materialize(preprocess_reports(raw))
     total = cleaned.count()
     placed = with_positions(cleaned, order_cols or ["id"], "pos", total=total)
     split = positional_split(placed, test_size, total=total)
-    return split.withColumn("tokens", report_tokens())
+    return materialize(split.withColumn("tokens", report_tokens()))
 
 
 def place_reports(df: DataFrame, test_size: float = 0.1, order_cols: list[str] | None = None) -> DataFrame:
     """ORD-1 + ORD-2 for reports that are already prepared (dense vectors)."""
     total = df.count()
     placed = with_positions(df, order_cols or ["id"], "pos", total=total)
-    return positional_split(placed, test_size, total=total)
+    return materialize(positional_split(placed, test_size, total=total))
 
 
 def sections_to_sentences(sections: DataFrame) -> DataFrame:

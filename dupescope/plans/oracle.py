@@ -7,7 +7,7 @@ the semantics documented in each operator.
 
 from __future__ import annotations
 
-from dupescope.functions.hashing import h_sql, uniform_sql
+from dupescope.functions.hashing import h_sql, uniform_lanes_sql, uniform_sql
 from dupescope.functions.lexicon import STOP_WORDS, VERB_LEMMAS
 
 KS_SQL = "[1, 5, 10, 15, 20, 25]"
@@ -222,3 +222,136 @@ ORACLES.update({
     "reports_split": reports_split,
     "doc_sections": doc_sections,
 })
+
+
+# ---------------------------------------------------------------- corpus / text similarity
+def _with_text(body: str) -> str:
+    return "WITH " + text_reports_cte() + "," + body
+
+
+def word_freq() -> str:
+    return _with_text("""
+occ AS (SELECT unnest(tokens) AS word FROM r)
+SELECT word, COUNT(*) AS freq FROM occ GROUP BY word""")
+
+
+def vocab_min2() -> str:
+    return _with_text("""
+occ AS (SELECT unnest(tokens) AS word FROM r)
+SELECT word, COUNT(*) AS freq FROM occ GROUP BY word HAVING COUNT(*) >= 2""")
+
+
+def corpus_properties() -> str:
+    return _with_text("""
+occ AS (SELECT unnest(tokens) AS w FROM r)
+SELECT (SELECT COUNT(DISTINCT w) FROM occ) AS n_words, (SELECT CAST(MAX(len(tokens)) AS BIGINT) FROM r) AS max_len""")
+
+
+def dup_clusters() -> str:
+    return _with_text("""
+c AS (SELECT disc_id, COUNT(*) AS size, MIN(pos) AS first_pos, MAX(pos) AS last_pos FROM r GROUP BY disc_id)
+SELECT disc_id, size, first_pos, last_pos, CAST(size * (size - 1) // 2 AS BIGINT) AS n_pos_pairs,
+       CAST(CASE WHEN size > 1 THEN size * (size - 1) ELSE 0 END AS BIGINT) AS n_triplets FROM c""")
+
+
+TFIDF_CTES = """
+tr AS (SELECT * FROM r WHERE split = 'train'),
+ntr AS (SELECT COUNT(*) AS n FROM tr),
+trt AS (SELECT DISTINCT pos, term FROM (SELECT pos, unnest(tokens) AS term FROM tr)),
+dfq AS (SELECT term, COUNT(*) AS df FROM trt GROUP BY term),
+idf AS (SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM dfq, ntr),
+tf AS (SELECT pos, term, COUNT(*) AS tf FROM (SELECT pos, unnest(tokens) AS term FROM r) GROUP BY pos, term),
+w0 AS (SELECT tf.pos, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf USING (term)),
+wn AS (SELECT pos, term, w / sqrt(SUM(w * w) OVER (PARTITION BY pos)) AS w FROM w0),
+tp AS (SELECT eq.query_pos, cw.pos AS cand_pos, SUM(qw.w * cw.w) AS score
+       FROM eq JOIN wn qw ON qw.pos = eq.query_pos JOIN wn cw ON cw.term = qw.term AND cw.pos < eq.query_pos
+       GROUP BY 1, 2)"""
+
+
+def idf_train() -> str:
+    return _with_text(TFIDF_CTES.split(",\ntf AS")[0].replace("\nidf AS", "\nidf AS", 1)[1:] + """
+SELECT term, df, round(idf, 6) AS idf FROM idf""")
+
+
+def _all_pairs(score_expr: str, join_sql: str) -> str:
+    return f"""
+SELECT eq.query_pos, eq.query_id, c.pos AS cand_pos, c.id AS cand_id, c.disc_id AS cand_disc, {score_expr} AS score
+FROM eq JOIN r c ON c.pos < eq.query_pos {join_sql}"""
+
+
+OVERLAP_CTES = """
+ot AS (SELECT DISTINCT pos, term FROM (SELECT pos, unnest(tokens) AS term FROM r)),
+op AS (SELECT eq.query_pos, ct.pos AS cand_pos, COUNT(*) AS score
+       FROM eq JOIN ot qt ON qt.pos = eq.query_pos JOIN ot ct ON ct.term = qt.term AND ct.pos < eq.query_pos
+       GROUP BY 1, 2)"""
+
+OVERLAP_PAIRS = _all_pairs("COALESCE(CAST(op.score AS DOUBLE), 0.0)",
+                           "LEFT JOIN op ON op.query_pos = eq.query_pos AND op.cand_pos = c.pos")
+TFIDF_PAIRS = _all_pairs("COALESCE(tp.score, 0.0)",
+                         "LEFT JOIN tp ON tp.query_pos = eq.query_pos AND tp.cand_pos = c.pos")
+
+RANKED_OUT = "\nSELECT query_id, CAST(rank AS INTEGER) AS rank, cand_id, round(score, 6) AS score FROM ranked"
+
+
+def overlap_ranked() -> str:
+    return _with_text(eligible_cte() + "," + OVERLAP_CTES + "," + ranked_cte(OVERLAP_PAIRS, "DESC") + RANKED_OUT)
+
+
+def overlap_eval() -> str:
+    return _with_text(eligible_cte() + "," + OVERLAP_CTES + "," + ranked_cte(OVERLAP_PAIRS, "DESC")
+                      + metrics_select())
+
+
+def tfidf_ranked() -> str:
+    return _with_text(eligible_cte() + "," + TFIDF_CTES + "," + ranked_cte(TFIDF_PAIRS) + RANKED_OUT)
+
+
+VEC_DIM = 300
+VEC_CTES = f"""
+trv AS (SELECT DISTINCT unnest(tokens) AS word FROM r WHERE split = 'train'),
+wv AS (SELECT word, i, {uniform_lanes_sql('word', lane='i')} AS x FROM trv, range({VEC_DIM}) t(i)),
+occ AS (SELECT pos, word, COUNT(*) AS tf FROM (SELECT pos, unnest(tokens) AS word FROM r) GROUP BY 1, 2),
+mv AS (SELECT o.pos, wv.i, SUM(o.tf * wv.x) / SUM(o.tf) AS x FROM occ o JOIN wv USING (word) GROUP BY 1, 2),
+vec AS (SELECT pos, list(x ORDER BY i) AS v FROM mv GROUP BY pos),
+rv AS (SELECT r.pos, r.id, COALESCE(vec.v, list_transform(range({VEC_DIM}), lambda i: 0.0::DOUBLE)) AS v,
+              sqrt(list_inner_product(COALESCE(vec.v, [0.0::DOUBLE]), COALESCE(vec.v, [0.0::DOUBLE]))) AS nrm
+       FROM r LEFT JOIN vec USING (pos))"""
+
+BLEND_W = 0.7
+BLEND_PAIRS = f"""
+SELECT eq.query_pos, eq.query_id, c.pos AS cand_pos, c.id AS cand_id, c.disc_id AS cand_disc,
+       {BLEND_W}::DOUBLE * COALESCE(tp.score, 0.0)
+       + (1.0::DOUBLE - {BLEND_W}::DOUBLE) * CASE WHEN cv.nrm > 0 AND qv.nrm > 0
+             THEN list_inner_product(list_transform(cv.v, lambda x: x / cv.nrm), list_transform(qv.v, lambda x: x / qv.nrm))
+             ELSE 0.0 END AS score
+FROM eq JOIN r c ON c.pos < eq.query_pos
+JOIN rv cv ON cv.pos = c.pos JOIN rv qv ON qv.pos = eq.query_pos
+LEFT JOIN tp ON tp.query_pos = eq.query_pos AND tp.cand_pos = c.pos"""
+
+
+def mean_vectors_random() -> str:
+    return _with_text(VEC_CTES[1:] + "\nSELECT id, list_transform(v, lambda x: round(x, 6)) AS vector FROM rv")
+
+
+def blend_ranked() -> str:
+    return _with_text(eligible_cte() + "," + TFIDF_CTES + "," + VEC_CTES + "," + ranked_cte(BLEND_PAIRS) + RANKED_OUT)
+
+
+def blend_eval() -> str:
+    return _with_text(eligible_cte() + "," + TFIDF_CTES + "," + VEC_CTES + "," + ranked_cte(BLEND_PAIRS)
+                      + metrics_select())
+
+
+ORACLES.update({
+    "word_freq": word_freq,
+    "vocab_min2": vocab_min2,
+    "corpus_properties": corpus_properties,
+    "dup_clusters": dup_clusters,
+    "idf_train": idf_train,
+    "overlap_ranked": overlap_ranked,
+    "overlap_eval": overlap_eval,
+    "tfidf_ranked": tfidf_ranked,
+    "mean_vectors_random": mean_vectors_random,
+    "blend_ranked": blend_ranked,
+    "blend_eval": blend_eval,
+})

@@ -44,8 +44,9 @@ REGISTRY = {
 
 
 def _merge():
-    from dupescope.plans import text_queries
+    from dupescope.plans import corpus_queries, text_queries
     REGISTRY.update(text_queries.REGISTRY)
+    REGISTRY.update(corpus_queries.REGISTRY)
 
 
 _merge()

@@ -55,3 +55,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A table location inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def materialize(df):
+    """Cut lineage after an expensive stage that later steps read several
+    times: a reliable ``checkpoint`` into the shared checkpoint folder (never a
+    local checkpoint), so a lost executor re-reads files instead of redoing
+    the text work."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
