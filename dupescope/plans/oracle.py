@@ -355,3 +355,104 @@ ORACLES.update({
     "blend_ranked": blend_ranked,
     "blend_eval": blend_eval,
 })
+
+
+# ---------------------------------------------------------------- documentation examples
+def _h(*parts: str) -> str:
+    return h_sql(*parts)
+
+
+def _u(*parts: str) -> str:
+    return uniform_sql(*parts)
+
+
+def doc_sentences_cte() -> str:
+    return f"""
+ds0 AS (SELECT conv_id AS section_id, turn AS sent_idx,
+               flatten(coalesce({preprocess_sql('text')}, CAST([] AS VARCHAR[][]))) AS tokens FROM conversations),
+ds1 AS (SELECT * FROM ds0 WHERE len(tokens) > 0),
+s AS (SELECT ROW_NUMBER() OVER (ORDER BY section_id, sent_idx) - 1 AS seq, section_id,
+             ROW_NUMBER() OVER (PARTITION BY section_id ORDER BY sent_idx) - 1 AS idx_in_section,
+             array_to_string(tokens, ' ') AS sentence, tokens FROM ds1),
+tot AS (SELECT COUNT(*) AS total FROM s)"""
+
+
+def doc_sentence_table() -> str:
+    return "WITH " + doc_sentences_cte() + "\nSELECT seq, section_id, idx_in_section, sentence FROM s"
+
+
+def nsp_pairs() -> str:
+    return "WITH " + doc_sentences_cte() + f""",
+b AS (SELECT s.seq, s.sentence AS sentence_a, {_u("'nsp'", 's.seq')} AS coin,
+             greatest(s.seq - 10, 0) AS lo, least(s.seq + 10, total - 1) AS hi, total
+      FROM s, tot WHERE s.seq < total - 1),
+c AS (SELECT *, total - (hi - lo + 1) AS room, {_h("'nsp_neg'", 'seq')} AS d FROM b),
+e AS (SELECT seq, sentence_a, CASE WHEN coin >= 0.5 THEN 0 ELSE 1 END AS label,
+             CASE WHEN coin >= 0.5 THEN seq + 1
+                  WHEN room > 0 THEN CASE WHEN d % room >= lo THEN d % room + (hi - lo + 1) ELSE d % room END
+             END AS b_seq FROM c)
+SELECT e.seq, e.b_seq, e.label, e.sentence_a, s2.sentence AS sentence_b
+FROM e JOIN s s2 ON s2.seq = e.b_seq"""
+
+
+def sase_pairs() -> str:
+    return "WITH " + doc_sentences_cte() + f""",
+sec AS (SELECT section_id, COUNT(*) AS sec_len FROM s GROUP BY section_id),
+rk AS (SELECT section_id, sec_len, ROW_NUMBER() OVER (ORDER BY section_id) - 1 AS sec_rank,
+              COUNT(*) OVER () AS n_sections FROM sec),
+me AS (SELECT s.seq, s.section_id, s.idx_in_section, s.sentence AS sentence_a, rk.sec_rank, rk.n_sections,
+              CASE WHEN {_u("'sase'", 's.seq')} >= 0.5 THEN 0 ELSE 1 END AS label,
+              {_h("'sase_sec'", 's.seq')} AS d
+       FROM s JOIN rk USING (section_id) WHERE s.idx_in_section < rk.sec_len - 1),
+pos AS (SELECT me.seq, s2.seq AS b_seq, me.label, me.sentence_a, s2.sentence AS sentence_b
+        FROM me JOIN s s2 ON s2.section_id = me.section_id AND s2.idx_in_section = me.idx_in_section + 1
+        WHERE me.label = 0),
+nn AS (SELECT *, CASE WHEN n_sections - 1 > 0 THEN
+                   CASE WHEN d % (n_sections - 1) >= sec_rank THEN d % (n_sections - 1) + 1 ELSE d % (n_sections - 1) END
+                 END AS other_rank FROM me WHERE label = 1),
+neg AS (SELECT nn.seq, s2.seq AS b_seq, nn.label, nn.sentence_a, s2.sentence AS sentence_b
+        FROM nn JOIN rk t ON t.sec_rank = nn.other_rank
+        JOIN s s2 ON s2.section_id = t.section_id AND s2.idx_in_section = {_h("'sase_idx'", 'nn.seq')} % t.sec_len)
+SELECT * FROM pos UNION ALL SELECT * FROM neg"""
+
+
+def sts_pairs() -> str:
+    return "WITH " + doc_sentences_cte() + f""",
+p AS (SELECT s.seq, s.seq + 1 AS b_seq, 1.0::DOUBLE AS label, s.sentence AS sentence_a FROM s, tot
+      WHERE s.seq < total - 1
+      UNION ALL
+      SELECT s.seq, s.seq + 10 + {_h("'sts'", 's.seq')} % (total - 1 - s.seq - 10) AS b_seq, 0.0::DOUBLE AS label,
+             s.sentence AS sentence_a FROM s, tot WHERE s.seq + 10 < total - 1)
+SELECT p.seq, p.b_seq, p.label, p.sentence_a, s2.sentence AS sentence_b FROM p JOIN s s2 ON s2.seq = p.b_seq"""
+
+
+def mlm_masks() -> str:
+    u = _u("'mlm'", "s.seq", "k - 1")
+    return "WITH " + doc_sentences_cte() + f"""
+SELECT s.seq, array_to_string(list_transform(tokens, lambda t, k: CASE WHEN {u} < 0.15 THEN '[MASK]' ELSE t END), ' ')
+         AS masked, array_to_string(tokens, ' ') AS labels FROM s"""
+
+
+def tsdae_pairs() -> str:
+    u = _u("'tsdae'", "s.seq", "k - 1")
+    return "WITH " + doc_sentences_cte() + f""",
+f AS (SELECT s.seq, s.sentence, s.tokens, list_filter(tokens, lambda t, k: {u} > 0.6) AS kept FROM s)
+SELECT seq, array_to_string(CASE WHEN len(kept) > 0 THEN kept
+                                 ELSE [tokens[{_h("'tsdae_keep'", 'seq')} % len(tokens) + 1]] END, ' ') AS noisy,
+       sentence AS target FROM f"""
+
+
+ORACLES.update({
+    "doc_sentence_table": doc_sentence_table,
+    "nsp_pairs": nsp_pairs,
+    "sase_pairs": sase_pairs,
+    "sts_pairs": sts_pairs,
+    "mlm_masks": mlm_masks,
+    "tsdae_pairs": tsdae_pairs,
+})
+
+
+ORACLES.update({
+    "online_dense_ranked": dense_ranked,    # the stream must equal the batch lists
+    "online_dense_metrics": dense_eval,
+})
