@@ -36,10 +36,10 @@ def mean_vectors(docs: DataFrame, vectors: DataFrame, dim: int, key: str = "pos"
     occ = docs.select(key, F.explode(tokens_col).alias("word")).groupBy(key, "word").agg(
         F.count(F.lit(1)).cast("double").alias("_tf"))
     known = occ.join(vectors.select("word", array_to_vector(F.col("vector")).alias("_v")), "word")
-    means = known.groupBy(key).agg(Summarizer.mean(F.col("_v"), F.col("_tf")).alias("_m"))
+    means = known.groupBy(key).agg(Summarizer.mean(F.col("_v"), F.col("_tf")).alias("_mv")).select(
+        key, vector_to_array(F.col("_mv")).alias("_m"))
     zeros = F.array_repeat(F.lit(0.0), dim)
-    return docs.join(means, key, "left").withColumn(
-        out_col, F.coalesce(vector_to_array(F.col("_m")), zeros)).drop("_m")
+    return docs.join(means, key, "left").withColumn(out_col, F.coalesce(F.col("_m"), zeros)).drop("_m")
 
 
 def overlay_pretrained(own: DataFrame, pretrained: DataFrame) -> DataFrame:
