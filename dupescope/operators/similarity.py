@@ -318,3 +318,27 @@ def rank_by(approach: str, queries: DataFrame, history: DataFrame, n: int, **opt
     else:
         raise ValueError(f"Approach {approach} is not supported")
     return out.withColumn("approach", F.lit(approach))
+
+
+# ---------------------------------------------------------------- JOIN-8
+def lsh_dense_topk(queries: DataFrame, history: DataFrame, n: int, radius: float, vec_col: str = "vector",
+                   bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42) -> DataFrame:
+    """Approximate dense candidates (Euclidean LSH on unit vectors) with an
+    exact inner-product re-rank; ``radius`` bounds the unit-vector distance
+    (chosen from the data). Candidates still obey ``cand_pos < query_pos``."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    h = history.select(F.col("pos").alias("cand_pos"), F.col("id").alias("cand_id"),
+                       F.col("disc_id").alias("cand_disc"),
+                       array_to_vector(l2_normalize(F.col(vec_col))).alias("features"))
+    q = queries.select("query_pos", "query_id", array_to_vector(l2_normalize(F.col(vec_col))).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
+                                        numHashTables=num_tables, seed=seed).fit(h)
+    pairs = model.approxSimilarityJoin(q, h, radius, distCol="dist").select(
+        F.col("datasetA.query_pos").alias("query_pos"), F.col("datasetA.query_id").alias("query_id"),
+        F.col("datasetB.cand_pos").alias("cand_pos"), F.col("datasetB.cand_id").alias("cand_id"),
+        F.col("datasetB.cand_disc").alias("cand_disc"), "dist")
+    pairs = pairs.filter(F.col("cand_pos") < F.col("query_pos")).withColumn(
+        "score", 1.0 - F.col("dist") * F.col("dist") / 2.0)  # unit vectors: dot = 1 - d^2/2
+    return _rank(pairs.drop("dist"), n, tie_ascending=True)

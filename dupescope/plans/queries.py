@@ -52,3 +52,24 @@ def _merge():
 
 
 _merge()
+
+
+def lsh_dense_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-8: approximate candidates (LSH) + exact re-rank; rows-only check."""
+    reports = dense_reports(spark, sf_dir)
+    queries = E.eligible_queries(reports)
+    ranked = S.lsh_dense_topk(E.query_inputs(reports, queries, ["vector"]), reports, max(KS), radius=1.2)
+    return ranked.select("query_id", "rank", "cand_id", F.round("score", 6).alias("score"))
+
+
+def w2v_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-2: Word2Vec on the training report tokens; rows-only check."""
+    from dupescope.operators.vectors import train_word2vec
+    from dupescope.plans.reports import text_reports
+
+    train = text_reports(spark, sf_dir).filter(F.col("split") == "train")
+    return train_word2vec(train, vector_size=300, min_count=1, epochs=5)
+
+
+REGISTRY["lsh_dense_ranked"] = lsh_dense_ranked
+REGISTRY["w2v_vectors"] = w2v_vectors
