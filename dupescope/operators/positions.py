@@ -55,7 +55,8 @@ def with_positions(df: DataFrame, order_cols: list[str], pos_col: str = "pos",
     order = [F.col(c).asc() for c in order_cols]
     if nb == 1:
         # Bounded input (<= rows_per_bucket rows): one ordered window is cheapest.
-        return df.withColumn(pos_col, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+        pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
+        return df.withColumn(pos_col, pos.cast("bigint"))
 
     types = {f.name: f.dataType for f in df.schema.fields}
     frac = min(1.0, SAMPLES_PER_BUCKET * nb / total)
