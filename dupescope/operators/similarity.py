@@ -242,7 +242,7 @@ def _block_fn(n: int, w_dense: float, w_sparse: float, cosine_query: bool):
 
 def block_topk(queries: DataFrame, history: DataFrame, n: int, vec_col: str | None = "vector",
                terms_col: str | None = None, weights_col: str | None = None, w_sparse: float = 0.0,
-               cosine_query: bool = False, hist_block: int = 20000, query_block: int = 500,
+               cosine_query: bool = False, hist_block: int = 2500, query_block: int = 128,
                tie_ascending: bool = True) -> DataFrame:
     """Exact blocked all-pairs scoring: score = w_sparse*sparse + (1-w_sparse)*dense.
 
