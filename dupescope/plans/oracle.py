@@ -456,3 +456,11 @@ ORACLES.update({
     "online_dense_ranked": dense_ranked,    # the stream must equal the batch lists
     "online_dense_metrics": dense_eval,
 })
+
+
+def results_table_dense() -> str:
+    return ("WITH m AS (" + dense_eval() + ")\nSELECT k, success_rate AS \"TASK_SuccessRate@k\", "
+            "map AS \"TASK_MAP@k\" FROM m")
+
+
+ORACLES["results_table_dense"] = results_table_dense

@@ -73,3 +73,14 @@ def w2v_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY["lsh_dense_ranked"] = lsh_dense_ranked
 REGISTRY["w2v_vectors"] = w2v_vectors
+
+
+def results_table_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10 / WIN-7: the metric table pivoted to ``<TRAIN_TYPE>_<metric>``
+    columns (one model present: TASK = dense vectors of the embeddings)."""
+    long = E.evaluate_models({"TASK": dense_reports(spark, sf_dir), "PT_TASK": None},
+                             lambda q, h, n: S.dense_topk(q, h, n, "vector", dim=64), ["vector"], KS)
+    return E.results_table(long, ["TASK"])
+
+
+REGISTRY["results_table_dense"] = results_table_dense
