@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,11 @@ def id_remainder(id_col: str, mod: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod)), F.lit(-1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once for each row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def runs(texts: list[str | None], most: int = RUN_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts that hold about ``most`` characters (one text at least)."""
     start = size = 0

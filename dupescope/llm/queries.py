@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupescope.llm import packing, tokenfile
-from dupescope.llm.common import table
+from dupescope.llm import bpe, chat, packing, quality_rules, tokenfile
+from dupescope.llm.common import bounded_batches, table
 from dupescope.llm.tokens import default_vocabulary
 from dupescope.session import scratch_path
 
@@ -19,6 +23,36 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = "<|im_end|><|im_start|>assistant ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(both).alias("text"))
+    chats = chat.format_chat(rows.unionByName(own)).select("conv_id", "formatted", chat.read_chat(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and decoding in one pass over Arrow batches; only digests leave the workers."""
+    bounded_batches(spark)
+    vocabulary = default_vocabulary()
+    encode, decode = bpe.encode_batches(vocabulary), bpe.decode_batches(vocabulary)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for b in decode(encode(batches)):
+            ids = [np.frombuffer(x, dtype="<u4").tolist() for x in b["ids"].to_pylist()]
+            yield pa.record_batch([b["doc_id"], pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(" ".join(map(str, x))) for x in ids]), pa.array([sha(x) for x in b["decoded"].to_pylist()])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, f"token-files-{uuid.uuid4().hex}")
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, default_vocabulary())
@@ -28,6 +62,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_packing": op1_packing,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_bpe": op5_bpe,
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_files": op8_token_files,
 }
 

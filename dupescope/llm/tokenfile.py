@@ -41,14 +41,16 @@ SEGMENT_SCHEMA = "part int, segment int, start bigint, n_ids bigint, doc_ids arr
 
 def _bits(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of ``values`` packed at ``width`` bits each."""
-    bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(*values.shape, 4), axis=-1)[..., 32 - width :]
+    whole = 16 if width <= 16 else 32
+    bits = np.unpackbits(values.astype(f">u{whole // 8}").view(np.uint8).reshape(*values.shape, whole // 8), axis=-1)[..., whole - width :]
     return np.packbits(bits.reshape(len(values), -1), axis=1)
 
 
 def _values(packed: np.ndarray, width: int, block: int) -> np.ndarray:
-    bits = np.zeros((len(packed), block, 32), dtype=np.uint8)
-    bits[..., 32 - width :] = np.unpackbits(packed, axis=1, count=block * width).reshape(len(packed), block, width)
-    return np.packbits(bits.reshape(len(packed), -1), axis=1).view(">u4").astype(np.uint32)
+    whole = 16 if width <= 16 else 32
+    bits = np.zeros((len(packed), block, whole), dtype=np.uint8)
+    bits[..., whole - width :] = np.unpackbits(packed, axis=1, count=block * width).reshape(len(packed), block, width)
+    return np.packbits(bits.reshape(len(packed), -1), axis=1).view(f">u{whole // 8}").astype(np.uint32)
 
 
 def encode_segment(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:

@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from dupescope.llm.common import runs
 
 TAIL = r"^(?P<stem>(?s:.*)[A-Za-z0-9])(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
-#: Words kept in a worker's cache (about 50 MB), and the longest word that is kept.
-CACHE_WORDS, CACHE_BYTES = 600_000, 64
+#: Words kept in a worker's cache (about 60 MB), and the longest word that is kept.
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
 #: Characters that are split into distinct words at a time.
-ENCODE_CHARS = 4 << 20
+ENCODE_CHARS = 8 << 20
 
 
 def default_vocabulary() -> str:
@@ -37,7 +37,7 @@ def check_wordwise(path: str) -> None:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     for t in spec.get("added_tokens", []):
-        if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]):
+        if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) or "<|" not in t["content"]:
             raise ValueError(f"added token {t['content']!r} can't be matched inside a word")
     pre = spec["pre_tokenizer"]
     steps = pre["pretokenizers"] if pre["type"] == "Sequence" else [pre]
