@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dupescope.session import scratch_path
+
 #: One Arrow batch sent to a Python worker holds at most this many bytes (rows of very long texts come in few-row batches).
 ARROW_BATCH_BYTES = 16 << 20
 #: Texts are handled in runs of about this many characters inside a batch, which bounds a worker's intermediates.
@@ -45,3 +51,26 @@ def runs(texts: list[str | None], most: int = RUN_CHARS) -> Iterator[tuple[int,
         size += len(t or "")
     if start < len(texts):
         yield start, len(texts)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder: cuts lineage, and a lost executor only reads it again."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def word_lists(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of texts with A-Z in lower case, in one byte string where the words of a text stand one
+    space apart: the bytes, each word's start and end, and how many words each text has."""
+    low = pc.ascii_lower(pa.array([t or "" for t in texts], type=pa.string()))
+    words = pc.ascii_split_whitespace(low)
+    flat = words.flatten()
+    size = pc.binary_length(flat).to_numpy()
+    real = size > 0  # a text that begins or ends with white space has an empty word there
+    many = np.diff(np.concatenate([[0], np.cumsum(real)])[words.offsets.to_numpy() - words.offsets[0].as_py()])
+    flat, size = flat.filter(pa.array(real)), size[real].astype(np.int64)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), " ")
+    data = np.frombuffer(joined.buffers()[2], dtype=np.uint8, count=int(size.sum()) + max(0, len(size) - 1)) if len(flat) else np.zeros(0, dtype=np.uint8)
+    ends = np.cumsum(size + 1) - 1
+    return data, ends - size, ends, many

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupescope.llm import bpe, chat, packing, quality_rules, tokenfile
-from dupescope.llm.common import bounded_batches, table
+from dupescope.llm import bpe, chat, langid, packing, quality_model, quality_rules, simhash, tokenfile
+from dupescope.llm.common import bounded_batches, id_remainder, table
 from dupescope.llm.tokens import default_vocabulary
 from dupescope.session import scratch_path
 
@@ -23,6 +23,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_remainder("doc_id", 3) == 1
+    dictionaries = langid.fit(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.predict(F.col("text"), dictionaries, docs).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.margin", "p.rejected")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -60,12 +68,27 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_remainder("doc_id", 4) == 2
+    model = quality_model.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality_model.score(F.col("text"), model, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_packing": op1_packing,
+    "op2_language_id": op2_language_id,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_bpe": op5_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_files": op8_token_files,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
