@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from dupescope.session import scratch_path
 
 #: One Arrow batch sent to a Python worker holds at most this many bytes (rows of very long texts come in few-row batches).
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
+#: Text, as the scan counts it, that a task should have at least where its size matters.
+TASK_BYTES = 32 << 20
 #: Texts are handled in runs of about this many characters inside a batch, which bounds a worker's intermediates.
 RUN_CHARS = 1 << 20
 
@@ -74,3 +76,12 @@ def word_lists(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     data = np.frombuffer(joined.buffers()[2], dtype=np.uint8, count=int(size.sum()) + max(0, len(size) - 1)) if len(flat) else np.zeros(0, dtype=np.uint8)
     ends = np.cumsum(size + 1) - 1
     return data, ends - size, ends, many
+
+
+def merged_partitions(scan: DataFrame) -> int:
+    """Partitions for ``coalesce`` so that a task has about TASK_BYTES: scan splits are merged if they are smaller."""
+    raw = scan.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").lower().removesuffix("b")
+    units = {"k": 10, "m": 20, "g": 30}
+    split = int(raw[:-1]) << units[raw[-1]] if raw[-1] in units else int(raw)
+    n, merge = scan.rdd.getNumPartitions(), max(1, TASK_BYTES // max(1, split))
+    return max(1, min(n, max(scan.sparkSession.sparkContext.defaultParallelism, -(-n // merge))))

@@ -6,7 +6,7 @@ finds that window in logarithmic time.
 
 The operator is narrow: every task packs the documents of its own partition, holding at most ``buffer_tokens`` ids, and
 nothing is shuffled. Each buffer leaves at most a few windows part-filled among its thousands, so partitions should hold some
-ten megabytes of text (``merged_partitions`` merges smaller scan splits).
+ten megabytes of text (``common.merged_partitions`` merges smaller scan splits).
 
 Defined results: a null text counts as empty and still gives its end id; an empty table gives no rows; repeated rows are
 packed once each; ties between equal lengths go to the earlier document; other columns of the input are not read.
@@ -27,8 +27,6 @@ from dupescope.llm.tokens import word_ids
 
 #: Ids that a task holds before it packs them.
 BUFFER_TOKENS = 8 << 20
-#: Text, as the scan counts it, that a packing task should have at least.
-TASK_BYTES = 32 << 20
 
 
 class OpenWindows:
@@ -82,15 +80,6 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return where, offset, n
 
 
-def merged_partitions(scan: DataFrame) -> int:
-    """Partitions for ``coalesce`` so that a packing task has about TASK_BYTES: scan splits are merged if they are smaller."""
-    raw = scan.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").lower().removesuffix("b")
-    units = {"k": 10, "m": 20, "g": 30}
-    split = int(raw[:-1]) << units[raw[-1]] if raw[-1] in units else int(raw)
-    n, merge = scan.rdd.getNumPartitions(), max(1, TASK_BYTES // max(1, split))
-    return max(1, min(n, max(scan.sparkSession.sparkContext.defaultParallelism, -(-n // merge))))
-
-
 def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
     """One row for each piece: the id column, ``start`` (ids of the document before it), ``length``, ``doc_tokens``,
     ``sequence_id``, ``offset`` (gapless from 0 in its sequence) and ``ids`` (little-endian unsigned 32-bit integers).

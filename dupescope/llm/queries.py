@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupescope.llm import bpe, chat, langid, packing, quality_model, quality_rules, simhash, tokenfile
-from dupescope.llm.common import bounded_batches, id_remainder, table
+from dupescope.llm import bpe, chat, langid, packing, quality_model, quality_rules, simhash, suffix_tree, tokenfile
+from dupescope.llm.common import bounded_batches, id_remainder, merged_partitions, table
 from dupescope.llm.tokens import default_vocabulary
 from dupescope.session import scratch_path
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = packing.pack(docs.coalesce(packing.merged_partitions(docs)), default_vocabulary())
+    pieces = packing.pack(docs.coalesce(merged_partitions(docs)), default_vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -31,6 +31,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.margin", "p.rejected")
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_tree.language_model_scores(docs.coalesce(merged_partitions(docs)), id_remainder("doc_id", 10) != 0)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -83,6 +88,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
+    "op3_suffix_tree": op3_suffix_tree,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_bpe": op5_bpe,
     "op7_quality_rules": op7_quality_rules,
