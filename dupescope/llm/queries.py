@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupescope.llm import bpe, chat, langid, packing, quality_model, quality_rules, simhash, suffix_tree, tokenfile
+from dupescope.llm import bpe, chat, langid, neighbours, packing, quality_model, quality_rules, simhash, suffix_tree, tokenfile
 from dupescope.llm.common import bounded_batches, id_remainder, merged_partitions, table
 from dupescope.llm.tokens import default_vocabulary
 from dupescope.session import scratch_path
@@ -61,6 +61,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(100)) == 0)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("kept", F.lit(False)).alias("kept"))
@@ -91,6 +95,7 @@ REGISTRY = {
     "op3_suffix_tree": op3_suffix_tree,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_bpe": op5_bpe,
+    "op6_neighbours": op6_neighbours,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_files": op8_token_files,
     "op9_quality_classifier": op9_quality_classifier,
