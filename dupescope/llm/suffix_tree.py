@@ -10,7 +10,7 @@ word), so all of them sum to one. A text's score follows the longest retained co
 
 Counting takes two passes over all training texts. The first sums every word, and finds the sequences that may reach P_MIN:
 in blocks of tokens, those of at least half that share of their block; whatever reaches P_MIN over all blocks keeps more than
-half its count, so candidates are at most 2 * DEPTH / P_MIN, too. The second pass counts the candidates exactly. The scoring
+half its count, so candidates are at most 2 * DEPTH / P_MIN. The second pass counts the candidates exactly. The scoring
 pass carries the tree and the words of a share of P_MIN or more; the other words, none of them hot, are joined by Spark.
 Words and sequences are told apart by 64-bit hashes.
 
@@ -274,12 +274,13 @@ def fit(training: DataFrame, text_col: str = "text", p_min: float = P_MIN) -> tu
     words = sums.where("length = 1").select("key", "n")
     tokens, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(float(LEAST), p_min * tokens)
-    often = {r.key: r.n for r in words.where((F.col("n") >= p_min * tokens) | (F.col("key") == int(END))).collect()}  # 1 / p_min at most
-    known = sums.where((F.col("length") > 1) & (F.col("n") >= max(1.0, p_min / 2 * tokens))).select("length", "key").collect()
-    candidates = [np.array(sorted(r.key for r in known if r.length == k), dtype=np.int64) for k in range(2, DEPTH + 2)]
-    rows = second_counts(training, candidates, text_col).where(F.col("n") >= least).collect()
+    columns = lambda df: [c.to_numpy() for c in df.toArrow().columns]
+    often = dict(zip(*(c.tolist() for c in columns(words.where((F.col("n") >= p_min * tokens) | (F.col("key") == int(END)))))))  # 1 / p_min at most
+    length, key = columns(sums.where((F.col("length") > 1) & (F.col("n") >= least - p_min / 2 * tokens)).select("length", "key"))
+    candidates = [np.sort(key[length == k]) for k in range(2, DEPTH + 2)]
+    rows = columns(second_counts(training, candidates, text_col).where(F.col("n") >= least).select("length", "key", "context", "suffix", "word", "n"))
     begun = often | {int(BEGIN): often.get(int(END), 0)}
-    tree = tree_of(begun, [(r.length, r.key, r.context, r.suffix, r.word, r.n) for r in rows], tokens, different)
+    tree = tree_of(begun, sorted(zip(*(c.tolist() for c in rows), strict=True)), tokens, different)
     return tree, words, often, tokens, different
 
 
@@ -304,7 +305,7 @@ def language_model_scores(docs: DataFrame, training: Column, id_col: str = "doc_
                 real = t.at > 0
                 text, word = np.repeat(np.arange(n), t.many + 2)[real], t.ids[real]
                 at, hit = found(word, keys)
-                base = np.bincount(text[hit], weights=logs[at[hit]], minlength=n)
+                base = np.bincount(text[hit], weights=logs[at[hit]], minlength=n).astype(np.float64)
                 known = np.bincount(text[hit], minlength=n)
                 rare, other = text[~hit], word[~hit]
                 order = np.lexsort((other, rare))
