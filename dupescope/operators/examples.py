@@ -68,7 +68,7 @@ def same_section_pairs(s: DataFrame, seed: int = 42) -> DataFrame:
     *other* section (label 1)."""
     sections = s.groupBy("section_id").agg(F.count(F.lit(1)).alias("sec_len"))
     n_sections = sections.count()
-    ranked = with_positions(sections, ["section_id"], "sec_rank", total=n_sections)
+    ranked = with_positions(sections, ["section_id"], "sec_rank")
     me = s.join(ranked, "section_id").filter(F.col("idx_in_section") < F.col("sec_len") - 1)
     coin = uniform(F.lit("sase"), F.col("seq"), seed=seed)
     other = randint_except(F.lit(0), F.lit(n_sections), F.array(F.col("sec_rank")),

@@ -2,95 +2,51 @@
 top-n per query (ORD-4) and prefix cuts at several k (ORD-5).
 
 Positions at scale. ``row_number() over (order by key)`` plans a single
-partition, so positions are assigned in key-range buckets instead:
-
-1. sample the order key (bounded: ~``SAMPLES_PER_BUCKET`` rows per bucket) and
-   pick ``nb - 1`` boundary keys on the driver;
-2. give each row its bucket by a binary-search ``when`` tree over literal
-   boundaries (pure function of the key, so any retry gives the same bucket);
-3. ``row_number`` within each bucket (one balanced window task per bucket)
-   plus the bucket's offset, a prefix sum over ``nb`` counts broadcast back.
-
-Keys must be unique (add a tie-breaker column); then a hot value of the first
-key column is still split across buckets by the following columns.
+partition, so rows are sorted by key ranges instead, at every size alike:
+
+1. ``repartitionByRange`` + ``sortWithinPartitions`` on the order key: rows of
+   one partition follow those of the partition before;
+2. ``monotonically_increasing_id`` gives partition and place inside it, and a
+   reliable checkpoint fixes both;
+3. a prefix sum over the partitions' row counts (as many rows as partitions)
+   is broadcast back.
+
+The key should be unique (add a tie-breaker column): a hot value of the first
+key column is then still split by the following columns. Rows of equal keys
+get positions in an arbitrary but fixed order.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1024
-SAMPLES_PER_BUCKET = 20
-
-
-def _key_struct(cols: list[str]) -> Column:
-    return F.struct(*[F.col(c) for c in cols])
-
-
-def _literal_struct(row, cols: list[str], types) -> Column:
-    return F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in cols])
-
+from dupescope.session import materialize
 
-def _bucket_tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Bucket index in [lo, hi]; bucket i holds keys in [bounds[i-1], bounds[i])."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(key < bounds[mid - 1], _bucket_tree(key, bounds, lo, mid - 1)).otherwise(
-        _bucket_tree(key, bounds, mid, hi)
-    )
+PLACE_BITS = 33  # of monotonically_increasing_id: the place inside a partition
 
 
-def with_positions(df: DataFrame, order_cols: list[str], pos_col: str = "pos",
-                   rows_per_bucket: int = ROWS_PER_BUCKET, total: int | None = None) -> DataFrame:
-    """ORD-1: add ``pos`` = 0..n-1 following ``order_cols`` (unique key)."""
-    if total is None:
-        total = df.count()
-    nb = max(1, min(MAX_BUCKETS, math.ceil(total / max(1, rows_per_bucket))))
-    order = [F.col(c).asc() for c in order_cols]
-    if nb == 1:
-        # Bounded input (<= rows_per_bucket rows): one ordered window is cheapest.
-        pos = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
-        return df.withColumn(pos_col, pos.cast("bigint"))
-
-    types = {f.name: f.dataType for f in df.schema.fields}
-    frac = min(1.0, SAMPLES_PER_BUCKET * nb / total)
-    sample = df.select(*order_cols).sample(False, frac, seed=7).orderBy(*order_cols).collect()
-    picks = sorted({int(i * len(sample) / nb) for i in range(1, nb)} - {0})
-    bounds_rows = [sample[i] for i in picks if i < len(sample)]
-    bounds = [_literal_struct(r, order_cols, types) for r in bounds_rows]
-    nb = len(bounds) + 1
-    bucket = _bucket_tree(_key_struct(order_cols), bounds, 0, nb - 1) if bounds else F.lit(0)
-
-    tagged = df.withColumn("_bkt", bucket)
-    counts = tagged.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    # nb rows only: a global window over the bucket counts is bounded.
-    offsets = counts.select(
-        "_bkt", (F.sum("_cnt").over(Window.orderBy("_bkt")) - F.col("_cnt")).alias("_off")
-    )
-    local = F.row_number().over(Window.partitionBy("_bkt").orderBy(*order)) - 1
-    return (
-        tagged.withColumn("_loc", local)
-        .join(F.broadcast(offsets), "_bkt")
-        .withColumn(pos_col, (F.col("_off") + F.col("_loc")).cast("bigint"))
-        .drop("_bkt", "_loc", "_off")
-    )
+def with_positions(df: DataFrame, order_cols: list[str], pos_col: str = "pos") -> DataFrame:
+    """ORD-1: add ``pos`` = 0..n-1 following ``order_cols``."""
+    placed = materialize(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+                         .withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", PLACE_BITS)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return (placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(pos_col, F.col("_off") + inside).drop("_place", "_part", "_off"))
 
 
-def rank_within(df: DataFrame, key_cols: list[str], order_cols: list[str], out_col: str = "rank_in_key",
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def rank_within(df: DataFrame, key_cols: list[str], order_cols: list[str], out_col: str = "rank_in_key") -> DataFrame:
     """0-based rank of each row inside its key group, skew-safe.
 
-    Global positions over (key, order) spread a hot key over many buckets;
-    the rank is the position minus the key's first position (partial min
-    aggregate, joined back; AQE splits a skewed join partition).
+    Positions over (key, order) spread a hot key over many partitions; the
+    rank is the position minus the key's first position. Only one row per key
+    is joined back (a partial min aggregate), and AQE splits a skewed key.
     """
-    g = with_positions(df, key_cols + order_cols, "_gpos", rows_per_bucket)
+    g = with_positions(df, key_cols + order_cols, "_gpos")
     first = g.groupBy(*key_cols).agg(F.min("_gpos").alias("_first"))
     return (
         g.join(first, key_cols)
@@ -133,7 +89,3 @@ def cut_at_ks(ranked: DataFrame, ks: list[int], rank_col: str = "rank") -> DataF
     the fixed k list is exploded per row)."""
     ks_arr = F.array(*[F.lit(int(k)) for k in sorted(set(ks))])
     return ranked.withColumn("k", F.explode(F.filter(ks_arr, lambda k: k >= F.col(rank_col))))
-
-
-def union_all(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)

@@ -43,7 +43,7 @@ def prepare_reports(raw: DataFrame, test_size: float = 0.1, order_cols: list[str
     """
     cleaned = materialize(preprocess_reports(raw))
     total = cleaned.count()
-    placed = with_positions(cleaned, order_cols or ["id"], "pos", total=total)
+    placed = with_positions(cleaned, order_cols or ["id"], "pos")
     split = positional_split(placed, test_size, total=total)
     return materialize(split.withColumn("tokens", report_tokens()))
 
@@ -51,17 +51,10 @@ def prepare_reports(raw: DataFrame, test_size: float = 0.1, order_cols: list[str
 def place_reports(df: DataFrame, test_size: float = 0.1, order_cols: list[str] | None = None) -> DataFrame:
     """ORD-1 + ORD-2 for reports that are already prepared (dense vectors)."""
     total = df.count()
-    placed = with_positions(df, order_cols or ["id"], "pos", total=total)
+    placed = with_positions(df, order_cols or ["id"], "pos")
     return materialize(positional_split(placed, test_size, total=total))
 
 
-def sections_to_sentences(sections: DataFrame) -> DataFrame:
-    """ROW-6: (section_id, sent_idx, tokens) -> (seq, section_id, sent_idx, sentence)
-    with a global sequence number in (section, sentence) order."""
-    placed = with_positions(sections, ["section_id", "sent_idx"], "seq")
-    return placed.select("seq", "section_id", "sent_idx", T.join_tokens(F.col("tokens")).alias("sentence"))
-
-
 def dedup_documents(docs: DataFrame, tokens_col: str = "tokens", order_col: str = "file_id") -> DataFrame:
     """ROW-8: keep the earliest file of every distinct token structure.
 

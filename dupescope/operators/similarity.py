@@ -8,36 +8,36 @@ Scorer output schema (UDF-2 protocol)::
 
     query_pos, query_id, cand_pos, cand_id, cand_disc, score, rank
 
-Physical strategies
-
-* ``overlap_topk`` / ``tfidf_topk``: inverted index. Distinct (report, term)
-  rows of the queries are joined with those of the history on the term plus
-  ``cand_pos < query_pos``, partially aggregated per (query, candidate).
-  Candidates that share nothing are added back by the exact "zero fill"
-  (only the first/last ``n`` positions can ever rank), never a cross join.
-* ``dense_topk`` / ``blend_topk``: every pair scores (dense part), so pairs
-  are never materialised: history and queries are cut into position blocks,
-  each (query block, history block) pair meets once in ``cogroup`` and a NumPy
-  matmul keeps only each query's local top ``n``; a final windowed top-n
-  (``WindowGroupLimit``) merges the blocks.  Small query sets may instead use
-  a broadcast nested-loop join, but only behind a measured size bound.
+One exact kernel scores word overlap, TF-IDF, dense vectors and their blend.
+Both sides are prepared once: terms as 64-bit hashes, vectors at unit length.
+They are dealt to a grid of query groups x history groups, whose numbers
+follow from the measured bytes of each side, so every cell holds about
+``CELL_BYTES`` of either. A row is sent once per group of the other side:
+with history bytes H, query bytes Q and cell size B the grid moves 2*H*Q/B
+bytes, whatever the number of queries. A cell scores its pairs in chunks of
+bounded size and hands on exactly the best ``n`` of each query (ties by
+position), a final top-n merges the cells, and ids are attached to the ranked
+rows alone. No pair is shuffled or sorted by Spark, and candidates that share
+nothing with the query take part with score 0.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupescope.operators.positions import top_n, with_positions
+from dupescope.operators.positions import top_n
 
 SCORE_DIGITS = 10  # scores are compared after rounding: float sums differ by order
-BROADCAST_QUERY_BYTES = 64 * 1024 * 1024
+#: Bytes of history and of queries in a cell, and pairs scored at a time in it.
+CELL_BYTES = 8 << 20
+CHUNK_PAIRS = 1 << 21
 
-RANKED_SCHEMA = (
-    "query_pos bigint, query_id bigint, cand_pos bigint, cand_id bigint, cand_disc bigint, score double"
-)
+SCORED_SCHEMA = "query_pos bigint, cand_pos bigint, score double"
 
 
 # ---------------------------------------------------------------- vector exprs
@@ -52,293 +52,199 @@ def l2_norm(v) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    """JOIN-4: unit length; a zero vector stays zero."""
-    norm = l2_norm(v)
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
-
-
-# ---------------------------------------------------------------- helpers
-def _history(history: DataFrame, extra: list) -> DataFrame:
-    return history.select(
-        F.col("pos").alias("cand_pos"), F.col("id").alias("cand_id"), F.col("disc_id").alias("cand_disc"), *extra
-    )
-
-
-def _queries(queries: DataFrame, extra: list) -> DataFrame:
-    return queries.select("query_pos", "query_id", *extra)
-
-
-def _rank(pairs: DataFrame, n: int, tie_ascending: bool) -> DataFrame:
-    scored = pairs.withColumn("_sr", F.round("score", SCORE_DIGITS))
-    return top_n(scored, n, "query_pos", "_sr", "cand_pos", tie_ascending=tie_ascending).drop("_sr")
-
-
-def _zero_fill(queries: DataFrame, history: DataFrame, n: int, last: bool) -> DataFrame:
-    """Candidates with score 0 that can still reach the top ``n``.
-
-    With ties broken by position, only the last (``last``) or first ``n``
-    positions before each query can hold a zero-score rank; they are generated
-    per query by ``sequence`` and looked up by position (equi join).
+    """JOIN-4: unit length; a zero vector stays zero. The norm is bound to a
+    lambda variable, so it is computed once per row, not per element."""
+    unit = lambda norm: F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    return F.transform(F.array(l2_norm(v)), unit)[0]
+
+
+# ---------------------------------------------------------------- the kernel
+def _sparse_scores(q_terms: list, q_weights: list, terms: np.ndarray, rows: np.ndarray, weights: np.ndarray,
+                   n_history: int) -> np.ndarray:
+    """(queries x history) sparse dot products; ``terms`` of the history are sorted."""
+    out = np.zeros((len(q_terms), n_history))
+    for i, (own, weight) in enumerate(zip(q_terms, q_weights)):
+        if not len(own) or not len(terms):
+            continue
+        lo, hi = np.searchsorted(terms, own, "left"), np.searchsorted(terms, own, "right")
+        size = hi - lo
+        if size.any():
+            at = np.repeat(hi - np.cumsum(size), size) + np.arange(int(size.sum()))
+            out[i] = np.bincount(rows[at], weights=np.repeat(weight, size) * weights[at], minlength=n_history)
+    return out
+
+
+def _best(scores: np.ndarray, q_pos: np.ndarray, h_pos: np.ndarray, n: int, tie_ascending: bool):
+    """The best ``n`` of each row (history in ascending position): row and column of each."""
+    rounded = np.round(scores, SCORE_DIGITS) + 0.0
+    rounded[h_pos[None, :] >= q_pos[:, None]] = -np.inf
+    k = min(n, scores.shape[1])
+    kth = -np.partition(-rounded, k - 1, axis=1)[:, k - 1]
+    for i in range(len(q_pos)):
+        top = np.flatnonzero(rounded[i] > kth[i])
+        if np.isfinite(kth[i]):
+            ties = np.flatnonzero(rounded[i] == kth[i])
+            top = np.concatenate([top, ties[: k - len(top)] if tie_ascending else ties[len(ties) - (k - len(top)):]])
+        yield i, top
+
+
+def _cell(n: int, w_dense: float, w_sparse: float, tie_ascending: bool):
+    def ragged(column) -> list[np.ndarray]:
+        return [np.asarray(x) for x in column]
+
+    def score(hdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(hdf) and len(qdf):
+            hdf = hdf.sort_values("cand_pos", kind="stable")
+            h_pos, q_pos = hdf["cand_pos"].to_numpy(np.int64), qdf["query_pos"].to_numpy(np.int64)
+            if w_dense:
+                h_vec = np.stack(ragged(hdf["h_vec"])).astype(np.float64)
+                q_vec = np.stack(ragged(qdf["q_vec"])).astype(np.float64)
+            if w_sparse:
+                lists, q_terms, q_weights = ragged(hdf["h_terms"]), ragged(qdf["q_terms"]), ragged(qdf["q_weights"])
+                rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                terms = np.concatenate(lists).astype(np.int64)
+                order = np.argsort(terms, kind="stable")
+                terms, rows = terms[order], rows[order]
+                weights = np.concatenate(ragged(hdf["h_weights"])).astype(np.float64)[order]
+            step = max(1, CHUNK_PAIRS // len(h_pos))
+            for lo in range(0, len(q_pos), step):
+                hi = min(lo + step, len(q_pos))
+                s = np.zeros((hi - lo, len(h_pos)))
+                if w_dense:
+                    s += w_dense * (q_vec[lo:hi] @ h_vec.T)
+                if w_sparse:
+                    s += w_sparse * _sparse_scores(q_terms[lo:hi], q_weights[lo:hi], terms, rows, weights, len(h_pos))
+                for i, top in _best(s, q_pos[lo:hi], h_pos, n, tie_ascending):
+                    found.append((np.full(len(top), q_pos[lo + i]), h_pos[top], s[i, top]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query_pos", "cand_pos", "score"), columns)))
+
+    return score
+
+
+def _sized(df: DataFrame, arrays: list[str]) -> tuple[int, int]:
+    """Rows, and bytes of their array columns (one aggregate)."""
+    width = sum((F.size(c).cast("bigint") * 8 for c in arrays), F.lit(16).cast("bigint"))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return r.n, r.b
+
+
+def kernel_topk(queries: DataFrame, history: DataFrame, n: int, vec_col: str | None = None,
+                terms_col: str | None = None, weights_col: str | None = None, w_sparse: float = 0.0,
+                cosine_query: bool = True, cell_bytes: int = CELL_BYTES, tie_ascending: bool = True) -> DataFrame:
+    """Exact top ``n`` of ``w_sparse * sparse + (1 - w_sparse) * dense`` for every query.
+
+    Without ``weights_col`` a term weighs 1 (word overlap); without ``vec_col``
+    the score is the sparse part alone.
     """
-    if last:
-        lo = F.greatest(F.col("query_pos") - F.lit(n), F.lit(0))
-        hi = F.col("query_pos") - 1
-    else:
-        lo = F.lit(0)
-        hi = F.least(F.col("query_pos"), F.lit(n)) - 1
-    fill = queries.select("query_pos", "query_id", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))).alias("cand_pos"))
-    hist = history.select(F.col("pos").alias("cand_pos"), F.col("id").alias("cand_id"), F.col("disc_id").alias("cand_disc"))
-    return fill.join(hist, "cand_pos").withColumn("score", F.lit(0.0))
-
-
-def _term_rows(df: DataFrame, pos_col: str, terms_col: str, weights_col: str | None) -> DataFrame:
-    if weights_col is None:
-        return df.select(pos_col, F.explode(F.array_distinct(terms_col)).alias("term")).withColumn("w", F.lit(1.0))
-    z = F.arrays_zip(F.col(terms_col).alias("t"), F.col(weights_col).alias("x"))
-    return df.select(pos_col, F.explode(z).alias("_e")).select(
-        pos_col, F.col("_e.t").alias("term"), F.col("_e.x").alias("w")
-    )
-
-
-def _sparse_topk(queries: DataFrame, history: DataFrame, n: int, terms_col: str, weights_col: str | None,
-                 zero_fill_last: bool, broadcast_queries: bool | None = None) -> DataFrame:
-    """Inverted-index similarity (overlap when unweighted, dot when weighted)."""
-    q_terms = _term_rows(queries.select("query_pos", F.col(terms_col).alias("_t"),
-                                        *( [F.col(weights_col).alias("_w")] if weights_col else [])),
-                         "query_pos", "_t", "_w" if weights_col else None).withColumnRenamed("w", "wq")
-    c_terms = _term_rows(history.select(F.col("pos").alias("cand_pos"), F.col(terms_col).alias("_t"),
-                                        *( [F.col(weights_col).alias("_w")] if weights_col else [])),
-                         "cand_pos", "_t", "_w" if weights_col else None).withColumnRenamed("w", "wc")
-    if broadcast_queries is None:
-        broadcast_queries = _fits_broadcast(q_terms, 48)
-    q_side = F.broadcast(q_terms) if broadcast_queries else q_terms
-    matched = c_terms.join(q_side, "term").filter(F.col("cand_pos") < F.col("query_pos"))
-    scores = matched.groupBy("query_pos", "cand_pos").agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
-    hist = history.select(F.col("pos").alias("cand_pos"), F.col("id").alias("cand_id"), F.col("disc_id").alias("cand_disc"))
-    qids = queries.select("query_pos", "query_id")
-    positive = scores.join(hist, "cand_pos").join(qids, "query_pos")
-    fill = _zero_fill(qids, history, n, last=zero_fill_last)
-    cols = ["query_pos", "query_id", "cand_pos", "cand_id", "cand_disc", "score"]
-    both = positive.select(*cols).unionByName(fill.select(*cols))
-    best = both.groupBy("query_pos", "query_id", "cand_pos", "cand_id", "cand_disc").agg(F.max("score").alias("score"))
-    return _rank(best, n, tie_ascending=not zero_fill_last)
-
-
-def _fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_QUERY_BYTES) -> bool:
-    """Measured size bound for a broadcast side (one count action)."""
-    return df.count() * row_bytes <= limit
+    w_dense = (1.0 - w_sparse) if vec_col else 0.0
+
+    def prepared(df: DataFrame, side: str, pos: str, unit: bool) -> tuple[DataFrame, list[str]]:
+        cols = []
+        if vec_col:
+            cols.append((l2_normalize(F.col(vec_col)) if unit else F.transform(vec_col, lambda x: x.cast("double"))).alias(f"{side}_vec"))
+        if terms_col:
+            terms = F.array_distinct(terms_col) if weights_col is None else F.col(terms_col)
+            ones = F.transform(terms, lambda _: F.lit(1.0)) if weights_col is None else F.transform(weights_col, lambda x: x.cast("double"))
+            cols += [F.transform(terms, lambda t: F.xxhash64(t)).alias(f"{side}_terms"), ones.alias(f"{side}_weights")]
+        out = df.select(F.col("pos" if side == "h" else "query_pos").alias(pos), *cols)
+        return out, [c for c in out.columns if c != pos]
+
+    h, h_arrays = prepared(history, "h", "cand_pos", True)
+    q, q_arrays = prepared(queries, "q", "query_pos", cosine_query)
+    n_h, b_h = _sized(h, h_arrays)
+    n_q, b_q = _sized(q, q_arrays)
+    groups_h, groups_q = max(1, math.ceil(b_h / cell_bytes)), max(1, math.ceil(b_q / cell_bytes))
+    # every group of one side meets every group of the other, in one cell
+    h_cells = h.withColumn("hg", F.pmod(F.xxhash64("cand_pos"), F.lit(groups_h))).withColumn(
+        "qg", F.explode(F.sequence(F.lit(0), F.lit(groups_q - 1)).cast("array<bigint>")))
+    q_cells = q.withColumn("qg", F.pmod(F.xxhash64("query_pos"), F.lit(groups_q))).withColumn(
+        "hg", F.explode(F.sequence(F.lit(0), F.lit(groups_h - 1)).cast("array<bigint>")))
+    score = _cell(n, w_dense, w_sparse, tie_ascending)
+    scored = (h_cells.groupBy("hg", "qg").cogroup(q_cells.groupBy("hg", "qg"))
+              .applyInPandas(lambda a, b: score(a, b), SCORED_SCHEMA))
+    rounded = scored.withColumn("_sr", F.round("score", SCORE_DIGITS))
+    best = top_n(rounded, n, "query_pos", "_sr", "cand_pos", tie_ascending=tie_ascending).drop("_sr")
+    ids = history.select(F.col("pos").alias("cand_pos"), F.col("id").alias("cand_id"), F.col("disc_id").alias("cand_disc"))
+    named = best.join(ids, "cand_pos").join(queries.select("query_pos", "query_id"), "query_pos")
+    return named.select("query_pos", "query_id", "cand_pos", "cand_id", "cand_disc", "score", "rank")
 
 
 # ---------------------------------------------------------------- JOIN-2
-def overlap_topk(queries: DataFrame, history: DataFrame, n: int, tokens_col: str = "tokens",
-                 broadcast_queries: bool | None = None) -> DataFrame:
+def overlap_topk(queries: DataFrame, history: DataFrame, n: int, tokens_col: str = "tokens", **opts) -> DataFrame:
     """Word overlap |set(q) & set(c)|; ties by later position first."""
-    return _sparse_topk(queries, history, n, tokens_col, None, zero_fill_last=True,
-                        broadcast_queries=broadcast_queries)
+    return kernel_topk(queries, history, n, terms_col=tokens_col, w_sparse=1.0, tie_ascending=False, **opts)
 
 
 # ---------------------------------------------------------------- JOIN-5
 def tfidf_topk(queries: DataFrame, history: DataFrame, n: int, terms_col: str = "tf_terms",
-               weights_col: str = "tf_weights", broadcast_queries: bool | None = None) -> DataFrame:
+               weights_col: str = "tf_weights", **opts) -> DataFrame:
     """TF-IDF cosine over L2-normed sparse vectors; ties by earlier position."""
-    return _sparse_topk(queries, history, n, terms_col, weights_col, zero_fill_last=False,
-                        broadcast_queries=broadcast_queries)
-
-
-# ---------------------------------------------------------------- JOIN-3/6/7 SQL path
-def dense_pairs_sql(queries: DataFrame, history: DataFrame, n: int, vec_col: str = "vector",
-                    cosine_query: bool = False) -> DataFrame:
-    """Broadcast nested-loop path: queries (size-checked by the caller) are
-    broadcast, the history streams; a partial ``WindowGroupLimit`` keeps n per
-    query in each task."""
-    q = _queries(queries, [F.col(vec_col).alias("_qv")])
-    if cosine_query:
-        q = q.withColumn("_qv", l2_normalize(F.col("_qv")))
-    c = _history(history, [vec_col]).withColumn("_cv", l2_normalize(F.col(vec_col))).drop(vec_col)
-    pairs = c.join(F.broadcast(q), F.col("cand_pos") < F.col("query_pos"))
-    scored = pairs.select("query_pos", "query_id", "cand_pos", "cand_id", "cand_disc",
-                          dot(F.col("_cv"), F.col("_qv")).alias("score"))
-    return _rank(scored, n, tie_ascending=True)
-
-
-# ---------------------------------------------------------------- block path
-def _stack(cells, dim_hint: int | None = None) -> np.ndarray:
-    if len(cells) == 0:
-        return np.zeros((0, dim_hint or 0))
-    return np.stack([np.asarray(x, dtype=np.float64) for x in cells])
-
-
-def _normalize_rows(m: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(m, axis=1)
-    return m / np.where(norms > 0, norms, 1.0)[:, None]
-
-
-def _sparse_block(q_terms, q_w, h_terms, h_w, nq: int, nh: int) -> np.ndarray:
-    """Dense (nq x nh) matrix of sparse dot products, vectorised."""
-    q_len = np.fromiter((len(x) for x in q_terms), dtype=np.int64, count=nq)
-    h_len = np.fromiter((len(x) for x in h_terms), dtype=np.int64, count=nh)
-    out = np.zeros(nq * nh)
-    if q_len.sum() == 0 or h_len.sum() == 0:
-        return out.reshape(nq, nh)
-    qt = np.concatenate([np.asarray(x, dtype=object) for x in q_terms if len(x)])
-    ht = np.concatenate([np.asarray(x, dtype=object) for x in h_terms if len(x)])
-    qw = np.concatenate([np.asarray(x, dtype=np.float64) for x in q_w if len(x)])
-    hw = np.concatenate([np.asarray(x, dtype=np.float64) for x in h_w if len(x)])
-    qrow = np.repeat(np.arange(nq), q_len)
-    hrow = np.repeat(np.arange(nh), h_len)
-    _, inv = np.unique(np.concatenate([qt, ht]).astype(str), return_inverse=True)
-    qid, hid = inv[: len(qt)], inv[len(qt):]
-    order = np.argsort(qid, kind="stable")
-    qid, qrow, qw = qid[order], qrow[order], qw[order]
-    lo = np.searchsorted(qid, hid, "left")
-    cnt = np.searchsorted(qid, hid, "right") - lo
-    total = int(cnt.sum())
-    if total == 0:
-        return out.reshape(nq, nh)
-    h_idx = np.repeat(np.arange(len(hid)), cnt)
-    q_idx = np.repeat(lo, cnt) + (np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt))
-    flat = qrow[q_idx] * nh + hrow[h_idx]
-    out += np.bincount(flat, weights=qw[q_idx] * hw[h_idx], minlength=nq * nh)
-    return out.reshape(nq, nh)
-
-
-def _block_fn(n: int, w_dense: float, w_sparse: float, cosine_query: bool):
-    cols = ["query_pos", "query_id", "cand_pos", "cand_id", "cand_disc", "score"]
-
-    def fn(hdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
-        if len(hdf) == 0 or len(qdf) == 0:
-            return pd.DataFrame({c: pd.Series(dtype="int64" if c != "score" else "float64") for c in cols})
-        nq, nh = len(qdf), len(hdf)
-        hpos = hdf["cand_pos"].to_numpy(np.int64)
-        qpos = qdf["query_pos"].to_numpy(np.int64)
-        s = np.zeros((nq, nh))
-        if w_dense:
-            hm = _normalize_rows(_stack(hdf["_cv"].tolist()))
-            qm = _stack(qdf["_qv"].tolist())
-            if cosine_query:
-                qm = _normalize_rows(qm)
-            s += w_dense * (qm @ hm.T)
-        if w_sparse:
-            s += w_sparse * _sparse_block(qdf["_qt"].tolist(), qdf["_qw"].tolist(),
-                                          hdf["_ct"].tolist(), hdf["_cw"].tolist(), nq, nh)
-        valid = hpos[None, :] < qpos[:, None]
-        r = np.round(s, SCORE_DIGITS)
-        r[~valid] = -np.inf
-        k = min(n, nh)
-        kth = -np.partition(-r, k - 1, axis=1)[:, k - 1]
-        sel = (r >= kth[:, None]) & valid
-        qi, hj = np.nonzero(sel)
-        return pd.DataFrame({
-            "query_pos": qpos[qi],
-            "query_id": qdf["query_id"].to_numpy(np.int64)[qi],
-            "cand_pos": hpos[hj],
-            "cand_id": hdf["cand_id"].to_numpy(np.int64)[hj],
-            "cand_disc": hdf["cand_disc"].to_numpy(np.int64)[hj],
-            "score": s[qi, hj],
-        })
-
-    return fn
-
-
-def block_topk(queries: DataFrame, history: DataFrame, n: int, vec_col: str | None = "vector",
-               terms_col: str | None = None, weights_col: str | None = None, w_sparse: float = 0.0,
-               cosine_query: bool = False, hist_block: int = 2500, query_block: int = 128,
-               tie_ascending: bool = True) -> DataFrame:
-    """Exact blocked all-pairs scoring: score = w_sparse*sparse + (1-w_sparse)*dense.
-
-    Query blocks come from the queries' own ranks (ORD-1 over the queries),
-    history blocks from ``pos``. The
-    block pairs a query block needs are generated by ``sequence`` (history
-    blocks that start before its last query), then both sides are joined to
-    that small pair list and met in ``cogroup``; per task memory is bounded by
-    the two block sizes.
-    """
-    w_dense = (1.0 - w_sparse) if vec_col else 0.0
-    q_extra, c_extra = [], []
-    if vec_col:
-        q_extra.append(F.col(vec_col).alias("_qv"))
-        c_extra.append(F.col(vec_col).alias("_cv"))
-    if w_sparse:
-        q_extra += [F.col(terms_col).alias("_qt"), F.col(weights_col).alias("_qw")]
-        c_extra += [F.col(terms_col).alias("_ct"), F.col(weights_col).alias("_cw")]
-    q = queries.select("query_pos", "query_id", *q_extra)
-    # query blocks of at most ``query_block`` queries: rank among the queries
-    qn = with_positions(q, ["query_pos"], "_qi").withColumn(
-        "_qb", F.floor(F.col("_qi") / F.lit(query_block)).cast("bigint")
-    ).drop("_qi")
-    qmax = qn.groupBy("_qb").agg(F.max("query_pos").alias("_qmax"))
-    pairs = qmax.select(
-        F.col("_qb").alias("_pqb"), F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                    F.floor((F.col("_qmax") - 1) / F.lit(hist_block)).cast("bigint"))).alias("_hb")
-    )
-    h = history.select(F.col("pos").alias("cand_pos"), F.col("id").alias("cand_id"),
-                       F.col("disc_id").alias("cand_disc"), *c_extra)
-    hn = h.withColumn("_hb", F.floor(F.col("cand_pos") / F.lit(hist_block)).cast("bigint"))
-    h_rep = hn.join(pairs.select(F.col("_pqb").alias("_qb"), "_hb"), "_hb")
-    q_rep = qn.join(pairs, qn["_qb"] == pairs["_pqb"]).drop("_pqb")
-    fn = _block_fn(n, w_dense, w_sparse, cosine_query)
-    scored = (
-        h_rep.groupBy("_qb", "_hb").cogroup(q_rep.groupBy("_qb", "_hb"))
-        .applyInPandas(lambda a, b: fn(a, b), RANKED_SCHEMA)
-    )
-    return _rank(scored, n, tie_ascending=tie_ascending)
+    return kernel_topk(queries, history, n, terms_col=terms_col, weights_col=weights_col, w_sparse=1.0, **opts)
 
 
+# ---------------------------------------------------------------- JOIN-3/6/7
 def dense_topk(queries: DataFrame, history: DataFrame, n: int, vec_col: str = "vector",
-               cosine_query: bool = False, method: str = "auto", dim: int | None = None,
-               **block_opts) -> DataFrame:
-    """JOIN-3 (inner product with normalised history) / JOIN-6 (cosine).
-
-    ``auto``: broadcast path when the query vectors fit the broadcast bound,
-    the block path otherwise.
-    """
-    if method == "auto":
-        d = dim or 300
-        method = "sql" if _fits_broadcast(queries, 8 * d + 64) else "block"
-    if method == "sql":
-        return dense_pairs_sql(queries, history, n, vec_col, cosine_query)
-    return block_topk(queries, history, n, vec_col=vec_col, cosine_query=cosine_query, **block_opts)
+               cosine_query: bool = False, **opts) -> DataFrame:
+    """JOIN-3 (inner product with normalised history) / JOIN-6 (cosine)."""
+    return kernel_topk(queries, history, n, vec_col=vec_col, cosine_query=cosine_query, **opts)
 
 
 def blend_topk(queries: DataFrame, history: DataFrame, n: int, w: float = 0.3, vec_col: str = "vector",
-               terms_col: str = "tf_terms", weights_col: str = "tf_weights", **block_opts) -> DataFrame:
+               terms_col: str = "tf_terms", weights_col: str = "tf_weights", **opts) -> DataFrame:
     """JOIN-7: ``w * tfidf_cosine + (1 - w) * dense_cosine``, ties by position."""
-    return block_topk(queries, history, n, vec_col=vec_col, terms_col=terms_col, weights_col=weights_col,
-                      w_sparse=w, cosine_query=True, **block_opts)
+    return kernel_topk(queries, history, n, vec_col=vec_col, terms_col=terms_col, weights_col=weights_col,
+                       w_sparse=w, cosine_query=True, **opts)
+
 
+# ---------------------------------------------------------------- JOIN-9
+SCORERS = {"simple": dense_topk, "tf_idf": blend_topk, "intersection": overlap_topk}
 
-def rank_by(approach: str, queries: DataFrame, history: DataFrame, n: int, **opts) -> DataFrame:
-    """JOIN-9: pick a scorer by name; unknown names are an error."""
-    if approach == "simple":
-        out = dense_topk(queries, history, n, **opts)
-    elif approach == "tf_idf":
-        out = blend_topk(queries, history, n, **opts)
-    elif approach == "intersection":
-        out = overlap_topk(queries, history, n, **opts)
-    else:
-        raise ValueError(f"Approach {approach} is not supported")
-    return out.withColumn("approach", F.lit(approach))
+
+def rank_by(approaches: str | list[str], queries: DataFrame, history: DataFrame, n: int,
+            options: dict[str, dict] | None = None) -> DataFrame:
+    """JOIN-9: rank by one or several scorers, by name; one output with an
+    ``approach`` column. ``options`` holds a scorer's own arguments by name."""
+    names = [approaches] if isinstance(approaches, str) else list(approaches)
+    unknown = sorted(set(names) - set(SCORERS))
+    if unknown or not names:
+        raise ValueError(f"no scorer named {', '.join(unknown) or '(none given)'}; known: {', '.join(sorted(SCORERS))}")
+    out = None
+    for name in dict.fromkeys(names):
+        ranked = SCORERS[name](queries, history, n, **(options or {}).get(name, {})).withColumn("approach", F.lit(name))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
 
 
 # ---------------------------------------------------------------- JOIN-8
-def lsh_dense_topk(queries: DataFrame, history: DataFrame, n: int, radius: float, vec_col: str = "vector",
-                   bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate dense candidates (Euclidean LSH on unit vectors) with an
-    exact inner-product re-rank; ``radius`` bounds the unit-vector distance
-    (chosen from the data). Candidates still obey ``cand_pos < query_pos``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    h = history.select(F.col("pos").alias("cand_pos"), F.col("id").alias("cand_id"),
-                       F.col("disc_id").alias("cand_disc"),
-                       array_to_vector(l2_normalize(F.col(vec_col))).alias("features"))
-    q = queries.select("query_pos", "query_id", array_to_vector(l2_normalize(F.col(vec_col))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(h)
-    pairs = model.approxSimilarityJoin(q, h, radius, distCol="dist").select(
-        F.col("datasetA.query_pos").alias("query_pos"), F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.cand_pos").alias("cand_pos"), F.col("datasetB.cand_id").alias("cand_id"),
-        F.col("datasetB.cand_disc").alias("cand_disc"), "dist")
-    pairs = pairs.filter(F.col("cand_pos") < F.col("query_pos")).withColumn(
-        "score", 1.0 - F.col("dist") * F.col("dist") / 2.0)  # unit vectors: dot = 1 - d^2/2
-    return _rank(pairs.drop("dist"), n, tie_ascending=True)
+def lsh_dense_topk(queries: DataFrame, history: DataFrame, n: int, vec_col: str = "vector",
+                   planes: int = 8, tables: int = 96, seed: int = 42, dim: int | None = None) -> DataFrame:
+    """Approximate dense candidates (sign random projections) with an exact
+    inner-product re-rank. Candidates still obey ``cand_pos < query_pos``.
+
+    Two unit vectors at angle ``a`` share a table's key with probability
+    ``(1 - a/pi)^planes``, so a neighbour is met with ``1 - (1 - that)^tables``
+    and an unrelated pair (a = pi/2) with about ``tables / 2^planes`` of the
+    tables. A pair is compared once, in the first table that it shares.
+    """
+    d = dim or history.select(F.size(vec_col)).first()[0]
+    normals = np.random.default_rng(seed).standard_normal((tables, planes, d))
+
+    @F.pandas_udf("array<int>")
+    def keys(vectors: pd.Series) -> pd.Series:
+        v = np.stack([np.asarray(x, dtype=np.float64) for x in vectors]) if len(vectors) else np.zeros((0, d))
+        bits = np.einsum("nd,tpd->ntp", v, normals) > 0
+        return pd.Series(list((bits @ (1 << np.arange(planes))).astype(np.int32)))
+
+    h = history.select(F.col("pos").alias("cand_pos"), F.col("id").alias("cand_id"), F.col("disc_id").alias("cand_disc"),
+                       l2_normalize(F.col(vec_col)).alias("h_vec"), keys(F.col(vec_col)).alias("h_keys"))
+    q = queries.select("query_pos", "query_id", F.transform(vec_col, lambda x: x.cast("double")).alias("q_vec"), keys(F.col(vec_col)).alias("q_keys"))
+    met = (h.select("*", F.posexplode("h_keys").alias("t", "key"))
+           .join(q.select("*", F.posexplode("q_keys").alias("t", "key")), ["t", "key"])
+           .where(F.col("cand_pos") < F.col("query_pos")))
+    same = F.zip_with("h_keys", "q_keys", lambda a, b: a == b)
+    pairs = met.where(F.array_position(same, True) == F.col("t") + 1)
+    scored = pairs.select("query_pos", "query_id", "cand_pos", "cand_id", "cand_disc", dot(F.col("h_vec"), F.col("q_vec")).alias("score"))
+    rounded = scored.withColumn("_sr", F.round("score", SCORE_DIGITS))
+    return top_n(rounded, n, "query_pos", "_sr", "cand_pos").drop("_sr")

@@ -18,10 +18,7 @@ def random_vectors(vocab: DataFrame, dim: int = 300, seed: int = 42, centred: bo
     def draw(i: Column) -> Column:
         u = uniform_lanes(F.col(word_col), lane=i, seed=seed)
         return (u - 0.5) / dim if centred else u
-    # Hashing is the CPU cost here: give it the cluster's parallelism even
-    # when the vocabulary arrives as one small (AQE-coalesced) partition.
-    spread = vocab.repartition(vocab.sparkSession.sparkContext.defaultParallelism, word_col)
-    return spread.select(word_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), draw).alias("vector"))
+    return vocab.select(word_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), draw).alias("vector"))
 
 
 def mean_vectors(docs: DataFrame, vectors: DataFrame, dim: int, key: str = "pos",

@@ -86,16 +86,16 @@ def raw_reports_cte() -> str:
     """raw(id, summary, description, disc_id) from documents."""
     return """
 docs AS (SELECT doc_id AS id, text,
-                substr(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', '', 'g'), 1, 40) AS ckey
+                regexp_replace(lower(coalesce(text, '')), '[^a-z]+', '', 'g') AS ckey
          FROM documents),
-dcl AS (SELECT ckey, MIN(id) AS disc_id FROM docs GROUP BY ckey),
+dcl AS (SELECT id, MIN(id) OVER (PARTITION BY ckey, CASE WHEN ckey = '' THEN id END) AS disc_id FROM docs),
 raw AS (SELECT d.id,
                CASE WHEN strpos(d.text, chr(10)) > 0 THEN substr(d.text, 1, strpos(d.text, chr(10)) - 1)
                     ELSE d.text END AS summary,
                CASE WHEN strpos(d.text, chr(10)) > 0 THEN substr(d.text, strpos(d.text, chr(10)) + 1) END
                     AS description,
                dcl.disc_id
-        FROM docs d JOIN dcl USING (ckey))"""
+        FROM docs d JOIN dcl USING (id))"""
 
 
 def text_reports_cte() -> str:

@@ -16,23 +16,23 @@ from dupescope.plans.reports import KS, dense_reports
 def dense_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: SuccessRate@k / MAP@k of dense similarity over embeddings."""
     reports = dense_reports(spark, sf_dir)
-    return E.evaluate(reports, lambda q, h, n: S.dense_topk(q, h, n, "vector", dim=64), ["vector"], KS)
+    return E.evaluate(reports, lambda q, h, n: S.dense_topk(q, h, n, "vector"), ["vector"], KS)
 
 
 def dense_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked top-25 lists of dense similarity (JOIN-1/3/4, ORD-4)."""
     reports = dense_reports(spark, sf_dir)
     queries = E.eligible_queries(reports)
-    ranked = S.dense_topk(E.query_inputs(reports, queries, ["vector"]), reports, max(KS), "vector", dim=64)
+    ranked = S.dense_topk(E.query_inputs(reports, queries, ["vector"]), reports, max(KS), "vector")
     return ranked.select("query_id", "rank", "cand_id", F.round("score", 6).alias("score"))
 
 
 def dense_ranked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same lists through the blocked NumPy path (small blocks force many tasks)."""
+    """Same lists from a grid of many small cells."""
     reports = dense_reports(spark, sf_dir)
     queries = E.eligible_queries(reports)
     ranked = S.dense_topk(E.query_inputs(reports, queries, ["vector"]), reports, max(KS), "vector",
-                          method="block", hist_block=128, query_block=16)
+                          cell_bytes=16 << 10)
     return ranked.select("query_id", "rank", "cand_id", F.round("score", 6).alias("score"))
 
 
@@ -55,10 +55,10 @@ _merge()
 
 
 def lsh_dense_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-8: approximate candidates (LSH) + exact re-rank; rows-only check."""
+    """JOIN-8: approximate candidates (sign random projections) + exact re-rank; rows-only check, recall in the tests."""
     reports = dense_reports(spark, sf_dir)
     queries = E.eligible_queries(reports)
-    ranked = S.lsh_dense_topk(E.query_inputs(reports, queries, ["vector"]), reports, max(KS), radius=1.2)
+    ranked = S.lsh_dense_topk(E.query_inputs(reports, queries, ["vector"]), reports, max(KS), dim=64)
     return ranked.select("query_id", "rank", "cand_id", F.round("score", 6).alias("score"))
 
 
@@ -79,7 +79,7 @@ def results_table_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-10 / WIN-7: the metric table pivoted to ``<TRAIN_TYPE>_<metric>``
     columns (one model present: TASK = dense vectors of the embeddings)."""
     long = E.evaluate_models({"TASK": dense_reports(spark, sf_dir), "PT_TASK": None},
-                             lambda q, h, n: S.dense_topk(q, h, n, "vector", dim=64), ["vector"], KS)
+                             lambda q, h, n: S.dense_topk(q, h, n, "vector"), ["vector"], KS)
     return E.results_table(long, ["TASK"])
 
 

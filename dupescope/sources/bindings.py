@@ -1,15 +1,16 @@
 """Bindings of the driver's parquet tables to the report / docs data model.
 
 * ``documents`` -> raw reports: first line = summary, rest = description,
-  ``disc_id`` = lowest ``doc_id`` sharing the first 40 ``[a-z]`` letters of
-  the lower-cased text (the duplicate-cluster key).
+  ``disc_id`` = lowest ``doc_id`` whose whole text has the same ``[a-z]``
+  letters in lower case; a text without such letters is a cluster of its own.
 * ``embeddings`` -> dense reports: ``disc_id`` = lowest ``vec_id`` of the label.
 * ``conversations`` -> documentation sections: ``conv_id`` = section,
   ``turn`` = sentence index.
 * ``pages`` -> documentation files (HTML).
 
-Cluster ids come from a partial ``min`` aggregate joined back on the key (no
-window over a possibly hot key).
+Cluster ids come from a partial ``min`` aggregate over (digest, id) and are
+joined to the digest-id pairs, where a hot cluster is a skewed join that AQE
+splits; texts are joined once, by id.
 """
 
 from __future__ import annotations
@@ -17,49 +18,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLUSTER_KEY_LETTERS = 40
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy row work (regex chains) enough tasks.
-
-    A scan yields one task per file split; a single large row group would run
-    all text cleaning on one core. When the scan has fewer partitions than the
-    cluster's parallelism, hash-partition by ``key`` (deterministic on retry);
-    otherwise (the normal case at scale) leave the scan as it is.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, key)
-
-
 def cluster_key(text_col) -> F.Column:
+    """Digest of all letters of the text; null when it has none."""
     letters = F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-z]+", "")
-    return F.substring(letters, 1, CLUSTER_KEY_LETTERS)
+    return F.when(letters != "", F.md5(letters))
 
 
 def assign_clusters(df: DataFrame, key_col: str, id_col: str = "id", out_col: str = "disc_id") -> DataFrame:
-    """``disc_id`` = lowest id sharing ``key_col`` (partial aggregate + join)."""
-    first = df.groupBy(key_col).agg(F.min(id_col).alias(out_col))
-    return df.join(first, key_col)
+    """``disc_id`` = lowest id sharing ``key_col`` (partial aggregate + join); a null key is shared by none."""
+    first = df.where(F.col(key_col).isNotNull()).groupBy(key_col).agg(F.min(id_col).alias("_first"))
+    return df.join(first, key_col, "left").withColumn(out_col, F.coalesce("_first", id_col)).drop("_first")
 
 
 def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, summary, description, disc_id) from ``documents``."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    keys = assign_clusters(docs.select(F.col("doc_id").alias("id"), cluster_key(F.col("text")).alias("_ckey")), "_ckey")
     nl = F.instr(F.col("text"), "\n")
     reports = docs.select(
         F.col("doc_id").alias("id"),
         F.when(nl > 0, F.expr("substring(text, 1, instr(text, '\n') - 1)")).otherwise(F.col("text")).alias("summary"),
         F.when(nl > 0, F.expr("substring(text, instr(text, '\n') + 1)")).alias("description"),
-        cluster_key(F.col("text")).alias("_ckey"),
     )
-    return assign_clusters(reports, "_ckey").drop("_ckey")
+    return reports.join(keys.select("id", "disc_id"), "id")
 
 
 def dense_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +58,13 @@ def dense_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_sentences_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(section_id, sent_idx, text) from ``conversations``."""
-    conv = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    conv = table(spark, sf_dir, "conversations")
     return conv.select(F.col("conv_id").alias("section_id"), F.col("turn").alias("sent_idx"), "text")
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, path, ext, content) from ``pages``; every page is an HTML file."""
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
+    pages = table(spark, sf_dir, "pages")
     return pages.select(
         F.col("page_id").alias("file_id"),
         F.col("url").alias("path"),
