@@ -16,13 +16,14 @@ from dupescope.functions.lexicon import STOP_WORDS, VERB_LEMMAS
 WORD = r"[\p{L}\p{N}_]"
 
 # FIXED VALUES: cleaning patterns in pipeline order (Java regex dialect).
-# The digit / form-feed patterns are anchored at a word start by a look-behind:
-# the original's leftmost match always starts there, so results are the same,
-# while the search stays linear in the word length.
+# The digit and form-feed patterns take a word from its start, found by a
+# look-behind: the original's leftmost match always starts there, so results are
+# the same, while the search stays linear in the word length. A form feed right
+# after a match has no word of its own before it (the match took it).
 URL_PATTERN = r"(?:https|http)?://[\p{L}\p{N}_./?=&%]*[\p{L}\p{N}_]"
 WORD_START = r"(?<![\p{L}\p{N}_])"
 DIGIT_WORD_PATTERN = WORD_START + WORD + r"*?\p{Nd}" + WORD + "*"
-FORM_FEED_WORD_PATTERN = WORD_START + WORD + r"*?\f" + WORD + "*"
+FORM_FEED_WORD_PATTERN = "(?:" + WORD_START + WORD + r"++)?\f" + WORD + "*"
 PAREN_PATTERN = r"(?d)\(.*?\)"
 BRACKET_PAREN_PATTERN = r"(?d)\[.*\]\)"
 NON_ASCII_PATTERN = r"[^\x00-\x7F]+"

@@ -137,19 +137,30 @@ def task_label(train_type: str, task: str) -> str:
 
 def tasks_table(long_metrics: DataFrame, tasks: list[str]) -> DataFrame:
     """AGG-11: rows carry ``model`` (train type) and ``task``; docs-trained
-    models are renamed per task, then pivoted like AGG-10."""
+    models are renamed per task, the others have one value per k whatever the
+    task (of differing ones the first task's counts), then pivoted like AGG-10."""
     label = (
         F.when(F.col("model") == "DOC_TASK", F.format_string("DOC(%s)_TASK", F.col("task")))
         .when(F.col("model") == "PT_DOC_TASK", F.format_string("PT_DOC(%s)_TASK", F.col("task")))
         .otherwise(F.col("model"))
     )
-    labelled = long_metrics.withColumn("model", label).dropDuplicates(["model", "k"])
-    labels = []
-    for t in tasks:
-        for m in ("DOC_TASK", "PT_DOC_TASK"):
-            labels.append(task_label(m, t))
-    base = ["TASK", "PT_TASK"]
-    return results_table(labelled, base + labels)
+    labelled = long_metrics.withColumn("model", label).groupBy("model", "k").agg(
+        F.min_by("success_rate", "task").alias("success_rate"), F.min_by("map", "task").alias("map"))
+    labels = [task_label(m, t) for t in tasks for m in ("DOC_TASK", "PT_DOC_TASK")]
+    return results_table(labelled, ["TASK", "PT_TASK"] + labels)
+
+
+def task_tables(long_metrics: DataFrame, tasks: list[str]) -> dict[str, DataFrame]:
+    """AGG-11: one table per task, with that task's own models."""
+    return {t: results_table(long_metrics.where(F.col("task") == t), ["TASK", "PT_TASK", "DOC_TASK", "PT_DOC_TASK"])
+            for t in tasks}
+
+
+def relevant_train(queries: DataFrame, train: DataFrame) -> DataFrame:
+    """JOIN-10: (query_pos, cand_pos) of the train reports in the query's
+    cluster; a query without any has no row (WIN-8 leaves it out)."""
+    own = queries.select("query_pos", F.col("query_disc").alias("disc_id"))
+    return own.join(train.select("disc_id", F.col("pos").alias("cand_pos")), "disc_id").select("query_pos", "cand_pos")
 
 
 # ---------------------------------------------------------------- WIN-8 / WIN-9

@@ -59,9 +59,9 @@ def subword_vectors(vectors: DataFrame, min_n: int = 3, max_n: int = 6) -> DataF
 
 def _ngrams(s: Column, min_n: int, max_n: int) -> Column:
     lens = F.sequence(F.lit(min_n), F.lit(max_n))
-    return F.flatten(F.transform(lens, lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(0))),
-        lambda i: F.substring(s, i, n))))
+    fits = F.filter(lens, lambda n: n <= F.length(s))  # sequence() would count down for longer ones
+    return F.flatten(F.transform(fits, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))))
 
 
 def oov_vectors(words: DataFrame, gram_vectors: DataFrame, min_n: int = 3, max_n: int = 6) -> DataFrame:
@@ -76,11 +76,11 @@ def oov_vectors(words: DataFrame, gram_vectors: DataFrame, min_n: int = 3, max_n
 def masked_mean_pool(tokens: DataFrame, key: str = "doc", vec_col: str = "vector", mask_col: str = "mask") -> DataFrame:
     """VEC-6: mean of token vectors under an attention mask, denominator
     floored at 1e-9 (rows: doc, token vector, mask 0/1)."""
-    v = tokens.select(key, array_to_vector(F.col(vec_col)).alias("_v"), F.col(mask_col).cast("double").alias("_m"))
-    sums = v.groupBy(key).agg(
-        Summarizer.sum(F.col("_v"), F.col("_m")).alias("_s"), F.sum("_m").alias("_n"))
-    return sums.select(key, F.transform(vector_to_array("_s"), lambda x: x / F.greatest(F.col("_n"), F.lit(1e-9)))
-                       .alias("vector"))
+    item = F.posexplode(F.transform(vec_col, lambda x: x.cast("double"))).alias("_i", "_x")
+    sums = tokens.select(key, F.col(mask_col).cast("double").alias("_m"), item).groupBy(key, "_i").agg(
+        (F.sum(F.col("_x") * F.col("_m")) / F.greatest(F.sum("_m"), F.lit(1e-9))).alias("_x"))
+    return sums.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"])
+                                 .alias("vector"))
 
 
 def train_word2vec(corpus: DataFrame, vector_size: int = 300, min_count: int = 1, epochs: int = 5,
@@ -88,7 +88,8 @@ def train_word2vec(corpus: DataFrame, vector_size: int = 300, min_count: int = 1
     """VEC-2: word vectors from Spark ML Word2Vec (skip-gram), as (word, vector)."""
     from pyspark.ml.feature import Word2Vec
 
-    w2v = Word2Vec(vectorSize=vector_size, minCount=min_count, maxIter=epochs, seed=seed,
+    parts = max(1, corpus.select(tokens_col).rdd.getNumPartitions())
+    w2v = Word2Vec(vectorSize=vector_size, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=parts,
                    inputCol=tokens_col, outputCol="_unused")
     model = w2v.fit(corpus.select(tokens_col))
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))

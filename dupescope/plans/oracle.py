@@ -7,6 +7,8 @@ the semantics documented in each operator.
 
 from __future__ import annotations
 
+import html.entities
+
 from dupescope.functions.hashing import h_sql, uniform_lanes_sql, uniform_sql
 from dupescope.functions.lexicon import STOP_WORDS, VERB_LEMMAS
 
@@ -183,10 +185,21 @@ def strip_html_sql(x: str) -> str:
     s = f"regexp_replace({s}, '(?s)<!--.*?-->', '', 'g')"
     s = f"regexp_replace({s}, '(?is)<![^>]*>', '', 'g')"
     s = f"regexp_replace({s}, '(?s)<[^>]+>', '', 'g')"
-    for ent, ch in [("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"),
-                    ("&apos;", "''''"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")]:
-        s = f"replace({s}, '{ent}', {ch})"
-    return s
+    return decode_references_sql(s)
+
+
+def decode_references_sql(x: str) -> str:
+    """Character references by the HTML 4 table and by number; the text is cut at ``&`` and put together again."""
+    names = ", ".join(f"{_q(n + ';')}: chr({c})" for n, c in sorted((html.entities.name2codepoint | {"apos": 39}).items()))
+    name = "regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')"
+    number = "regexp_extract(p, '^#([0-9]{1,7});', 1)"
+    hexa = "regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,6});', 1)"
+    part = (f"CASE WHEN {number} <> '' THEN chr(CAST({number} AS INTEGER)) || regexp_replace(p, '^#[0-9]+;', '') "
+            f"WHEN {hexa} <> '' THEN chr(CAST('0x' || {hexa} AS INTEGER)) || regexp_replace(p, '^#[xX][0-9a-fA-F]+;', '') "
+            f"WHEN (MAP {{{names}}})[{name}] IS NOT NULL THEN (MAP {{{names}}})[{name}] || substr(p, length({name}) + 1) "
+            f"ELSE '&' || p END")
+    cut = f"string_split({x}, '&')"
+    return f"(({cut})[1] || coalesce(array_to_string(list_transform(({cut})[2:], lambda p: {part}), ''), ''))"
 
 
 def txt_remove_noise() -> str:
