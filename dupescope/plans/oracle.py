@@ -468,6 +468,8 @@ ORACLES.update({
 ORACLES.update({
     "online_dense_ranked": dense_ranked,    # the stream must equal the batch lists
     "online_dense_metrics": dense_eval,
+    "online_overlap_ranked": overlap_ranked,
+    "online_blend_metrics": blend_eval,
 })
 
 
