@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from dupescope.llm.common import runs
 
 TAIL = r"^(?P<stem>(?s:.*)[A-Za-z0-9])(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
-#: Words kept in a worker's cache (about 60 MB), and the longest word that is kept.
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
+#: Words kept in a worker's cache (about 45 MB), and the longest word that is kept.
+CACHE_WORDS, CACHE_BYTES = 700_000, 64
 #: Characters that are split into distinct words at a time.
 ENCODE_CHARS = 8 << 20
 
@@ -103,25 +103,29 @@ class WordIds:
         return at[1::2], flat
 
     def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) + len(parts) > CACHE_WORDS:
-            self._forget()
         seen = pc.index_in(parts, self.words)
-        new = parts.filter(pc.is_null(seen))
+        missing = pc.is_null(seen)
+        new = parts.filter(missing)
         new_ends, new_pool = self.encode_words(new.to_pylist())
-        base = len(self.words)
-        ends, pool = np.concatenate([self.ends, new_ends + len(self.pool)]), np.concatenate([self.pool, new_pool])
         which = pc.fill_null(seen, 0).to_numpy().astype(np.int64)
-        which[pc.is_null(seen).to_numpy(zero_copy_only=False)] = base + np.arange(len(new))
+        which[missing.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        ends, pool = np.concatenate([self.ends, new_ends + len(self.pool)]), np.concatenate([self.pool, new_pool])
         flat, at = gather(ends, pool, which)
-        if len(new) and pc.max(pc.binary_length(new)).as_py() <= CACHE_BYTES and base + len(new) <= CACHE_WORDS:
-            self.words, self.ends, self.pool = pa.concat_arrays([self.words, new]), ends, pool
-        elif len(new):
-            short = pc.less_equal(pc.binary_length(new), CACHE_BYTES).to_numpy(zero_copy_only=False)
-            kept, kept_at = gather(new_ends, new_pool, np.flatnonzero(short)[:CACHE_WORDS])
-            self.words = pa.concat_arrays([self.words, new.filter(pa.array(short))[:CACHE_WORDS]])
-            self.ends, self.pool = np.concatenate([self.ends, kept_at + len(self.pool)]), np.concatenate([self.pool, kept])
+        if len(self.words) + len(new) > CACHE_WORDS:  # what this run holds stays, the rest is let go
+            self.words, self.ends, self.pool = self._short(parts, at, flat)
+        else:
+            words, short_ends, short_pool = self._short(new, new_ends, new_pool)
+            self.words = pa.concat_arrays([self.words, words])
+            self.ends, self.pool = np.concatenate([self.ends, short_ends + len(self.pool)]), np.concatenate([self.pool, short_pool])
         return at, flat
 
+    @staticmethod
+    def _short(words: pa.Array, ends: np.ndarray, pool: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words that may be kept, CACHE_WORDS at most."""
+        short = np.flatnonzero(pc.less_equal(pc.binary_length(words), CACHE_BYTES).to_numpy(zero_copy_only=False))[:CACHE_WORDS]
+        flat, at = gather(ends, pool, short)
+        return words.take(pa.array(short)), at, flat
+
 
 def pooled(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
