@@ -39,14 +39,13 @@ def uniform_sql(*parts: str, seed: int = 42) -> str:
     return f"({h_sql(*parts, seed=seed)} / 4294967296.0)"
 
 
-def uniform_lanes(*parts, lane: Column, seed: int = 42) -> Column:
-    """Uniform draw number ``lane`` (0..) taken 4 per digest: lane ``i`` reads
-    hex chars ``8*(i%4)+1 .. +8`` of ``md5(seed|parts|i div 4)``. Same
-    stateless property as ``uniform`` with a quarter of the digests."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[_as_col(p).cast("string") for p in parts],
-                       F.floor(lane / 4).cast("string"))
-    hexpart = F.substring(F.md5(text), (lane % 4) * 8 + 1, 8)
-    return F.conv(hexpart, 16, 10).cast("bigint") / F.lit(TWO_32)
+def four_draws(*parts, seed: int = 42) -> Column:
+    """Four uniform draws in [0, 1) from one digest ``md5(seed|parts)``: hex
+    chars 1-8, 9-16, 17-24, 25-32. The last part counts the groups of four,
+    so draw number ``i`` is draw ``i % 4`` of group ``i div 4``."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[_as_col(p).cast("string") for p in parts])
+    read = lambda d: F.array(*(F.conv(F.substring(d, 8 * j + 1, 8), 16, 10).cast("bigint") / F.lit(TWO_32) for j in range(4)))
+    return F.transform(F.array(F.md5(text)), read)[0]
 
 
 def uniform_lanes_sql(*parts: str, lane: str, seed: int = 42) -> str:

@@ -7,18 +7,23 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupescope.functions.hashing import uniform_lanes
+from dupescope.functions.hashing import four_draws
+from dupescope.session import materialize
 
 
 def random_vectors(vocab: DataFrame, dim: int = 300, seed: int = 42, centred: bool = False,
                    word_col: str = "word") -> DataFrame:
     """VEC-1 (uniform [0,1) per word and dimension) / VEC-3 (``centred``:
     ``(u - 0.5) / dim``). Stateless hash draws: any partitioning, any retry
-    gives the same vector."""
-    def draw(i: Column) -> Column:
-        u = uniform_lanes(F.col(word_col), lane=i, seed=seed)
-        return (u - 0.5) / dim if centred else u
-    return vocab.select(word_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), draw).alias("vector"))
+    gives the same vector. One digest gives four draws."""
+    draws = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // 4)),
+                                  lambda g: four_draws(F.col(word_col), g, seed=seed)))
+    draws = F.slice(draws, 1, dim)
+    return vocab.select(word_col, (F.transform(draws, lambda u: (u - 0.5) / dim) if centred else draws).alias("vector"))
+
+
+#: A word in a share of 1 / HOT_WORDS of all (document, word) rows or more is hot: there are HOT_WORDS of them at most.
+HOT_WORDS = 200
 
 
 def mean_vectors(docs: DataFrame, vectors: DataFrame, dim: int, key: str = "pos",
@@ -28,11 +33,18 @@ def mean_vectors(docs: DataFrame, vectors: DataFrame, dim: int, key: str = "pos"
 
     Occurrences are counted per (doc, word) first, joined to the vectors, and
     averaged with ``Summarizer.mean`` weighted by the count (a JVM aggregate
-    with map-side partial aggregation).
+    with map-side partial aggregation). The vectors of hot words, at most
+    HOT_WORDS by their definition, are broadcast; the other words are joined
+    by a shuffle in which none of them is hot.
     """
     occ = docs.select(key, F.explode(tokens_col).alias("word")).groupBy(key, "word").agg(
         F.count(F.lit(1)).cast("double").alias("_tf"))
-    known = occ.join(vectors.select("word", array_to_vector(F.col("vector")).alias("_v")), "word")
+    total = occ.count()
+    hot = occ.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT_WORDS >= total).select("word")
+    vecs = vectors.select("word", array_to_vector(F.col("vector")).alias("_v"))
+    few = materialize(vecs.join(F.broadcast(hot), "word"))
+    rest = occ.join(F.broadcast(hot), "word", "left_anti").join(vecs, "word")
+    known = rest.unionByName(occ.join(F.broadcast(few), "word"))
     means = known.groupBy(key).agg(Summarizer.mean(F.col("_v"), F.col("_tf")).alias("_mv")).select(
         key, vector_to_array(F.col("_mv")).alias("_m"))
     zeros = F.array_repeat(F.lit(0.0), dim)

@@ -175,7 +175,9 @@ ORACLES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: fn() for name, fn in ORACLES.items()}
+    from dupescope.plans.coverage_oracle import ORACLES as more
+
+    return {name: fn() for name, fn in (ORACLES | more).items()}
 
 
 # ---------------------------------------------------------------- text queries

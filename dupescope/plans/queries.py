@@ -44,11 +44,12 @@ REGISTRY = {
 
 
 def _merge():
-    from dupescope.plans import corpus_queries, example_queries, stream_queries, text_queries
+    from dupescope.plans import corpus_queries, coverage_queries, example_queries, stream_queries, text_queries
     REGISTRY.update(text_queries.REGISTRY)
     REGISTRY.update(corpus_queries.REGISTRY)
     REGISTRY.update(example_queries.REGISTRY)
     REGISTRY.update(stream_queries.REGISTRY)
+    REGISTRY.update(coverage_queries.REGISTRY)
 
 
 _merge()
