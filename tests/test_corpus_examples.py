@@ -33,3 +33,46 @@ def test_cluster_pair_counts(spark):
     df = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (9, 3)], "disc_id bigint, pos bigint")
     got = {r.disc_id: (r.n_pos_pairs, r.n_triplets) for r in C.cluster_summary(df).collect()}
     assert got == {1: (3, 6), 9: (0, 0)}
+
+
+def test_mean_vectors_with_a_hot_word(spark):
+    rows = [(i, ["hot"] * (1 + i % 3) + ([f"w{i}"] if i % 2 else [])) for i in range(300)]  # one word in two thirds of the pairs
+    docs = spark.createDataFrame(rows, "pos bigint, tokens array<string>")
+    vecs = spark.createDataFrame([("hot", [1.0, 0.0])] + [(f"w{i}", [0.0, float(i)]) for i in range(300)], "word string, vector array<double>")
+    for r in V.mean_vectors(docs, vecs, 2).collect():
+        n = len(r.tokens)
+        want = [r.tokens.count("hot") / n, (float(r.pos) if r.pos % 2 else 0.0) / n]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(r.vector, want))
+
+
+def test_masked_mean_with_all_masked(spark):
+    rows = [(1, [1.0, 2.0], 1), (1, [3.0, 6.0], 1), (1, [9.0, 9.0], 0), (2, [5.0, 5.0], 0)]
+    df = spark.createDataFrame(rows, "doc int, vector array<double>, mask int")
+    assert {r.doc: r.vector for r in V.masked_mean_pool(df).collect()} == {1: [2.0, 4.0], 2: [0.0, 0.0]}
+
+
+def test_short_words_have_no_backward_grams(spark):
+    df = spark.createDataFrame([("ab",)], "word string")
+    assert sorted(df.select(V._ngrams(F.concat(F.lit("<"), F.col("word"), F.lit(">")), 3, 6)).first()[0]) == ["<ab", "<ab>", "ab>"]
+
+
+def test_lemmas(spark):
+    from dupescope.operators import lemmas as L
+
+    words = "crash crashed crashes crashing use used studies study bring bringing thing went class red ed".split()
+    table = L.lemma_table(spark.createDataFrame([(w,) for w in words], "word string"))
+    got = {r.word: r.lemma for r in table.collect()}
+    assert got == {"crashed": "crash", "crashes": "crash", "crashing": "crash", "used": "use", "studies": "study",
+                   "bringing": "bring", "went": "go"}
+    docs = spark.createDataFrame([(0, ["crashed", "red", "crashed"]), (1, []), (2, ["thing"])], "pos bigint, tokens array<string>")
+    done = {r.pos: r.tokens for r in L.apply_lemmas(docs, table).collect()}
+    assert done == {0: ["crash", "red", "crash"], 1: [], 2: ["thing"]}
+
+
+def test_rank_within_third_of_rows_in_one_section(spark):
+    from dupescope.operators import examples as X
+
+    rows = [(0 if i % 3 == 0 else i, i, [f"t{i}", "a", "b"]) for i in range(120)]
+    s = X.doc_sentences(spark.createDataFrame(rows, "section_id bigint, sent_idx bigint, tokens array<string>"))
+    hot = sorted((r.idx_in_section, r.sentence) for r in s.where("section_id = 0").collect())
+    assert [i for i, _ in hot] == list(range(40)) and hot[1][1].startswith("t3 ")

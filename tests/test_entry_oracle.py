@@ -1,6 +1,8 @@
 import duckdb
 import pytest
 
+from dupescope.plans.oracle import oracle_sql as _oracle_sql
+
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages conversations".split()
 
@@ -20,7 +22,7 @@ def test_entry_smoke(spark):
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", ["dense_eval", "reports_split", "overlap_ranked", "nsp_pairs", "txt_sentences"])
+@pytest.mark.parametrize("name", sorted(_oracle_sql()))
 def test_matches_duckdb_oracle(spark, name):
     from __spark_entry__ import oracle_sql, queries
     con = duckdb.connect()
@@ -30,6 +32,6 @@ def test_matches_duckdb_oracle(spark, name):
     rel = con.sql(oracle_sql()[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
     order = [rel.columns.index(c) for c in sdf.columns]
-    s_rows = sorted(tuple(_norm(x) for x in r) for r in sdf.collect())
-    d_rows = sorted(tuple(_norm(r[i]) for i in order) for r in rel.fetchall())
+    s_rows = sorted((tuple(_norm(x) for x in r) for r in sdf.collect()), key=repr)
+    d_rows = sorted((tuple(_norm(r[i]) for i in order) for r in rel.fetchall()), key=repr)
     assert s_rows == d_rows

@@ -32,3 +32,46 @@ def test_no_eligible_query_gives_null(spark):
                                                        F.col("query_disc").alias("cand_disc")), [], [1])
     r = out.first()
     assert r.success_rate is None and r.map is None and r.n_queries == 0
+
+
+def test_tables_by_task(spark):
+    rows = [("TASK", "mlm", 1, 0.5, 0.4), ("TASK", "nsp", 1, 0.6, 0.7), ("DOC_TASK", "mlm", 1, 0.1, 0.2), ("DOC_TASK", "nsp", 1, 0.3, 0.9)]
+    long = spark.createDataFrame(rows, "model string, task string, k int, success_rate double, map double")
+    r = E.tasks_table(long, ["mlm", "nsp"]).first().asDict()
+    assert (r["TASK_MAP@k"], r["DOC(mlm)_TASK_MAP@k"], r["DOC(nsp)_TASK_MAP@k"], r["PT_DOC(mlm)_TASK_MAP@k"]) == (0.4, 0.2, 0.9, None)
+    own = E.task_tables(long, ["mlm", "nsp"])
+    assert own["nsp"].first()["TASK_MAP@k"] == 0.7 and own["mlm"].first()["DOC_TASK_MAP@k"] == 0.2
+
+
+def test_relevance_sets_and_ir_metrics(spark):
+    train = spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "pos bigint, disc_id bigint")
+    queries = spark.createDataFrame([(10, 1), (11, 2), (12, 9)], "query_pos bigint, query_disc bigint")
+    relevant = E.relevant_train(queries, train)
+    assert sorted(map(tuple, relevant.collect())) == [(10, 0), (10, 1), (11, 2)]
+    ranked = spark.createDataFrame([(10, 1, 2), (10, 2, 0), (11, 1, 2), (12, 1, 0)], "query_pos bigint, rank int, cand_pos bigint")
+    m = {r.k: r for r in E.ir_metrics(ranked, relevant, [1, 2]).collect()}  # query 12 has no relevant report and is left out
+    assert (m[1].accuracy, m[1].precision, m[1].recall) == (0.5, 0.5, 0.5)
+    assert (m[2].accuracy, m[2].precision, m[2].recall) == (1.0, 0.5, 0.75)
+    assert abs(m[2].map - (0.5 / 2 + 1) / 2) < 1e-12 and m[2].mrr == 0.75
+
+
+def test_shared_checkpoint_folder_is_asked_for(monkeypatch):
+    import pytest
+
+    from dupescope import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

@@ -9,6 +9,8 @@ NOISE_CASES = [
     ("café “quoted” naïve", "caf quoted nave"),
     ("a(b\nc)d", "a(b c)d"),
     ("ab\fcd tail", "  tail"),
+    ("a\fb\fc tail", "   tail"),
+    ("x \f\f y\f z", "x      z"),
 ]
 
 
