@@ -26,7 +26,7 @@ from dupescope.llm.common import bounded_batches
 from dupescope.llm.tokens import word_ids
 
 #: Ids that a task holds before it packs them.
-BUFFER_TOKENS = 8 << 20
+BUFFER_TOKENS = 4 << 20
 
 
 class OpenWindows:
@@ -103,8 +103,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal held, size, next_id
             where, offset, n = best_fit_decreasing(np.array([len(p[2]) for p in held], dtype=np.int64), window)
-            for lo in range(0, len(held), 4096):
-                yield rows(held[lo : lo + 4096], where[lo : lo + 4096] + next_id, offset[lo : lo + 4096], types)
+            for lo in range(0, len(held), 1024):
+                yield rows(held[lo : lo + 1024], where[lo : lo + 1024] + next_id, offset[lo : lo + 1024], types)
             held, size, next_id = [], 0, next_id + n
 
         types = None

@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from dupescope.llm.common import runs
 
 TAIL = r"^(?P<stem>(?s:.*)[A-Za-z0-9])(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
-#: Words kept in a worker's cache (about 45 MB), and the longest word that is kept.
-CACHE_WORDS, CACHE_BYTES = 700_000, 64
-#: Characters that are split into distinct words at a time.
-ENCODE_CHARS = 8 << 20
+#: Words kept in a worker's cache (about 40 MB), and the longest word that is kept.
+CACHE_WORDS, CACHE_BYTES = 600_000, 64
+#: Characters that are split into distinct words at a time, and words that the library encodes at a time.
+ENCODE_CHARS, ASKED_WORDS = 4 << 20, 8192
 
 
 def default_vocabulary() -> str:
@@ -82,8 +82,14 @@ class WordIds:
         return out
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ends and pool of the ids of words that the cache doesn't have."""
-        return pooled([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        """Ends and pool of the ids of words that the cache doesn't have; a part of them at a time, as the library's results
+        take a kilobyte a word."""
+        parts = [pooled([e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + ASKED_WORDS], add_special_tokens=False)]) for i in range(0, len(words), ASKED_WORDS)]
+        if not parts:
+            return pooled([])
+        ends, pools = zip(*parts, strict=True)
+        before = np.cumsum([0, *(len(p) for p in pools[:-1])])
+        return np.concatenate([e + b for e, b in zip(ends, before, strict=True)]), np.concatenate(pools)
 
     def _unique(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ends and pool of the ids of different words.
@@ -139,7 +145,10 @@ def gather(ends: np.ndarray, pool: np.ndarray, which: np.ndarray) -> tuple[np.nd
     at = np.cumsum(size)
     if not len(at) or not at[-1]:
         return pool[:0], at
-    return pool[np.repeat(ends[which] - at, size) + np.arange(at[-1])], at
+    kind = np.int32 if max(len(pool), at[-1]) < 1 << 31 else np.int64  # half the memory of the largest intermediates
+    place = np.repeat((ends[which] - at).astype(kind), size)
+    place += np.arange(at[-1], dtype=kind)
+    return pool[place], at
 
 
 @lru_cache(maxsize=2)
