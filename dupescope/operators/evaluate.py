@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dupescope.operators.positions import cut_at_ks, rank_within
+from dupescope.session import materialize
 
 DEFAULT_KS = [1, 5, 10, 15, 20, 25]
 
@@ -96,7 +97,7 @@ def evaluate(reports: DataFrame, scorer: Scorer, query_cols: list[str], ks: list
     ``scorer(queries, history, n)`` returns ranked candidates (UDF-2).
     """
     n = max(ks)
-    queries = eligible_queries(reports)
+    queries = materialize(eligible_queries(reports))  # read by the scorer, the hits and the means
     q_in = query_inputs(reports, queries, query_cols)
     ranked = scorer(q_in, reports, n)
     if ranked_out is not None:

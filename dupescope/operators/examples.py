@@ -123,3 +123,21 @@ def denoising_pairs(s: DataFrame, del_ratio: float = 0.6, seed: int = 42) -> Dat
     kept = F.try_element_at(F.filter(F.array(keep), lambda a: F.size(a) > 0), F.lit(1))  # null when empty
     noisy = F.when(F.size("tokens") == 0, F.col("tokens")).otherwise(F.coalesce(kept, one))
     return s.select("seq", F.array_join(noisy, " ").alias("noisy"), F.col("sentence").alias("target"))
+
+
+# ---------------------------------------------------------------- UDF-3
+#: Example builders by documentation task: ``(sentences, number of sentences) -> examples``.
+BUILDERS = {
+    "mlm": lambda s, total: masked_tokens(s),
+    "sts": lambda s, total: similarity_pairs(s, total),
+    "nsp": lambda s, total: next_sentence_pairs(s, total),
+    "tsdae": lambda s, total: denoising_pairs(s),
+    "sase": lambda s, total: same_section_pairs(s),
+}
+
+
+def build_examples(task: str, sentences: DataFrame) -> DataFrame:
+    """UDF-3: the examples of a documentation task, by its name."""
+    if task not in BUILDERS:
+        raise ValueError(f"no builder for task {task}; known: {', '.join(sorted(BUILDERS))}")
+    return BUILDERS[task](sentences, sentences.count())

@@ -11,6 +11,10 @@ from dupescope.functions.hashing import four_draws
 from dupescope.session import materialize
 
 
+#: Bytes of vectors that a task draws, about.
+DRAWN_BYTES = 8 << 20
+
+
 def random_vectors(vocab: DataFrame, dim: int = 300, seed: int = 42, centred: bool = False,
                    word_col: str = "word") -> DataFrame:
     """VEC-1 (uniform [0,1) per word and dimension) / VEC-3 (``centred``:
@@ -19,7 +23,10 @@ def random_vectors(vocab: DataFrame, dim: int = 300, seed: int = 42, centred: bo
     draws = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // 4)),
                                   lambda g: four_draws(F.col(word_col), g, seed=seed)))
     draws = F.slice(draws, 1, dim)
-    return vocab.select(word_col, (F.transform(draws, lambda u: (u - 0.5) / dim) if centred else draws).alias("vector"))
+    # a word becomes 8 * dim bytes: tasks are cut by what they make, not by the few bytes that they read
+    words = vocab.select(word_col)
+    words = words.repartition(max(1, words.count() * 8 * dim // DRAWN_BYTES), word_col)
+    return words.select(word_col, (F.transform(draws, lambda u: (u - 0.5) / dim) if centred else draws).alias("vector"))
 
 
 #: A word in a share of 1 / HOT_WORDS of all (document, word) rows or more is hot: there are HOT_WORDS of them at most.

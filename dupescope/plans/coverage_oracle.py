@@ -124,6 +124,11 @@ def raw_csv_reports() -> str:
 SELECT id, nullif(summary, '') AS summary, nullif(description, '') AS description, disc_id FROM raw"""
 
 
+def example_counts() -> str:
+    of = {"mlm": O.mlm_masks, "nsp": O.nsp_pairs, "sase": O.sase_pairs, "sts": O.sts_pairs, "tsdae": O.tsdae_pairs}
+    return " UNION ALL ".join(f"SELECT '{task}' AS task, count(*) AS n FROM ({sql()})" for task, sql in of.items())
+
+
 def _vectors(words: str, seed: int = 42, centred: bool = False) -> str:
     draws = [uniform_lanes_sql("word", lane=str(i), seed=seed) for i in range(DIM)]
     return f"SELECT word, [{', '.join(f'(({d}) - 0.5) / {DIM}' if centred else d for d in draws)}] AS v FROM {words}"
@@ -237,6 +242,6 @@ FROM per JOIN two USING (query_pos) GROUP BY k"""
 
 ORACLES = {f.__name__: f for f in (
     txt_noise_built, markdown_sections, markdown_files, lemma_words, lemma_reports, report_sentence_rows, tokens_min2,
-    first_sentences, shuffled_sentences, validation_split, corpus_sizes, split_files, raw_csv_reports, centred_vectors,
+    first_sentences, shuffled_sentences, validation_split, corpus_sizes, example_counts, split_files, raw_csv_reports, centred_vectors,
     overlay_vectors, unseen_word_vectors, pooled_vectors, vector_files, approaches_ranked, results_table_two,
     results_by_task, best_model, validation_metrics)}

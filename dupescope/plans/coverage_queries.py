@@ -14,6 +14,7 @@ from dupescope.functions import text as T
 from dupescope.operators import corpus as C
 from dupescope.operators import docs as D
 from dupescope.operators import evaluate as E
+from dupescope.operators import examples as X
 from dupescope.operators import lemmas as L
 from dupescope.operators import rows as R
 from dupescope.operators import similarity as S
@@ -136,6 +137,15 @@ def raw_csv_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_reports(spark, path)
 
 
+def example_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-3: how many examples each documentation task gets, built by name."""
+    s, out = doc_sentences(spark, sf_dir), None
+    for task in sorted(X.BUILDERS):
+        one = X.build_examples(task, s).agg(F.count(F.lit(1)).alias("n")).select(F.lit(task).alias("task"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---------------------------------------------------------------- word vectors
 def _train_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.word_freq(text_reports(spark, sf_dir).filter(F.col("split") == "train")).select("word")
@@ -234,6 +244,6 @@ def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {f.__name__: f for f in (
     txt_noise_built, markdown_sections, markdown_files, lemma_words, lemma_reports, report_sentence_rows, tokens_min2,
-    first_sentences, shuffled_sentences, validation_split, corpus_sizes, split_files, raw_csv_reports, centred_vectors,
+    first_sentences, shuffled_sentences, validation_split, corpus_sizes, example_counts, split_files, raw_csv_reports, centred_vectors,
     overlay_vectors, unseen_word_vectors, pooled_vectors, vector_files, approaches_ranked, results_table_two,
     results_by_task, best_model, validation_metrics)}

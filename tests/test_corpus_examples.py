@@ -76,3 +76,15 @@ def test_rank_within_third_of_rows_in_one_section(spark):
     s = X.doc_sentences(spark.createDataFrame(rows, "section_id bigint, sent_idx bigint, tokens array<string>"))
     hot = sorted((r.idx_in_section, r.sentence) for r in s.where("section_id = 0").collect())
     assert [i for i, _ in hot] == list(range(40)) and hot[1][1].startswith("t3 ")
+
+
+def test_builders_by_name(spark):
+    import pytest
+
+    from dupescope.operators import examples as X
+
+    s = X.doc_sentences(spark.createDataFrame([(i // 5, i, ["a", f"t{i}", "b"]) for i in range(20)], "section_id bigint, sent_idx bigint, tokens array<string>"))
+    assert X.build_examples("tsdae", s).count() == 20 and X.build_examples("mlm", s).count() == 20
+    assert X.build_examples("sts", s).where("label = 1.0").count() == 19
+    with pytest.raises(ValueError, match="known: mlm, nsp, sase, sts, tsdae"):
+        X.build_examples("other", s)
