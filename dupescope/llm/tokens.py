@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from dupescope.llm.common import runs
 
 TAIL = r"^(?P<stem>(?s:.*)[A-Za-z0-9])(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
-#: Words kept in a worker's cache (about 40 MB), and the longest word that is kept.
-CACHE_WORDS, CACHE_BYTES = 600_000, 64
+#: Words kept in a worker's cache (about 50 MB), and the longest word that is kept.
+CACHE_WORDS, CACHE_BYTES = 800_000, 64
 #: Characters that are split into distinct words at a time, and words that the library encodes at a time.
-ENCODE_CHARS, ASKED_WORDS = 4 << 20, 8192
+ENCODE_CHARS, ASKED_WORDS = 8 << 20, 8192
 
 
 def default_vocabulary() -> str:
