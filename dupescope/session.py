@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -60,10 +61,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/" + name
 
 
-def materialize(df):
+def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage after an expensive stage that later steps read several
-    times: a reliable ``checkpoint`` into the shared checkpoint folder (never a
-    local checkpoint), so a lost executor re-reads files instead of redoing
-    the text work."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    times: a Parquet table in the shared checkpoint folder (never a local
+    checkpoint). A lost executor re-reads files instead of redoing the text
+    work, and readers take only the columns that they use."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

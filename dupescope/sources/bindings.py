@@ -45,7 +45,10 @@ def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(nl > 0, F.expr("substring(text, 1, instr(text, '\n') - 1)")).otherwise(F.col("text")).alias("summary"),
         F.when(nl > 0, F.expr("substring(text, instr(text, '\n') + 1)")).alias("description"),
     )
-    return reports.join(keys.select("id", "disc_id"), "id")
+    # the join deals the texts by id in any case; naming the number keeps AQE from merging the parts by their few bytes,
+    # as cleaning them is heavy work
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return reports.repartition(parts, "id").join(keys.select("id", "disc_id"), "id")
 
 
 def dense_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
