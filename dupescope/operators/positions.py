@@ -7,7 +7,7 @@ partition, so rows are sorted by key ranges instead, at every size alike:
 1. ``repartitionByRange`` + ``sortWithinPartitions`` on the order key: rows of
    one partition follow those of the partition before;
 2. ``monotonically_increasing_id`` gives partition and place inside it, and a
-   reliable checkpoint fixes both;
+   written table fixes both;
 3. a prefix sum over the partitions' row counts (as many rows as partitions)
    is broadcast back.
 
