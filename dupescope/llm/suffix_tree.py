@@ -1,18 +1,22 @@
 """Operator 3: language-model scoring by a probabilistic suffix tree over words, beside a word-count baseline.
 
 The symbols are the words in lower case and one end after each text. A context is what stands before a symbol: up to DEPTH
-words, the first of which may be the beginning of the text. As in the classic construction, sequences (a context and its next
-symbol) take part from a share ``P_MIN`` of all tokens on, so there are at most DEPTH / P_MIN of them, whatever the corpus. A
-context is retained if its next-symbol distribution diverges from that of its longest proper suffix: the count times the
-Kullback-Leibler divergence must pay GAIN nats for each number that it needs; the suffixes of a retained context stay with it.
-Distributions are smoothed towards those of the suffix, down to the baseline's word probabilities (add 0.1, with one unknown
-word), so all of them sum to one. A text's score follows the longest retained context at every token.
-
-Counting takes two passes over all training texts. The first sums every word, and finds the sequences that may reach P_MIN:
-in blocks of tokens, those of at least half that share of their block; whatever reaches P_MIN over all blocks keeps more than
-half its count, so candidates are at most 2 * DEPTH / P_MIN. The second pass counts the candidates exactly. The scoring
-pass carries the tree and the words of a share of P_MIN or more; the other words, none of them hot, are joined by Spark.
-Words and sequences are told apart by 64-bit hashes.
+words, the first of which may be the beginning of the text. Sequences (a context and its next symbol) take part from LEAST
+occurrences on, however large the corpus, so the tree grows with it. A context is retained if its next-symbol distribution
+diverges from that of its longest proper suffix: the count times the Kullback-Leibler divergence must pay GAIN nats for each
+number that it needs; the suffixes of a retained context stay with it. Distributions are smoothed towards those of the suffix,
+down to the baseline's word probabilities (add 0.1, with one unknown word), so all of them sum to one. A text's score follows
+the longest retained context at every token.
+
+Counting takes two passes over all training texts, words and pairs first, then the longer sequences all of whose pairs pass.
+A block of tokens sums its sequences and deals them out by ranges of their hash. Whether a pair passes is looked up in a bitmap
+of fixed size: where bits are shared more candidates are counted, and none is lost. The tree is made by Spark joins.
+
+What a token adds to the baseline is a sum: for each retained context before it, what it pays for leaving it, and for each of
+them that the symbol is known after, the gain over the next shorter one and that payment back. So each sequence has one value
+and a text's score is the sum over its sequences. The scoring pass carries the words and sequences of a share of P_MIN or
+more (bounded in number); the others, none of them hot, are joined by Spark. Words and sequences are told apart by 64-bit
+hashes.
 
 Defined results: a null text counts as empty: one token, the end; without training texts every word is unknown; rows with a
 null id are training rows; repeated rows count and are scored once each; an empty table gives no rows; other columns of the
@@ -22,25 +26,28 @@ input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dupescope.llm.common import bounded_batches, runs, word_lists, written
 
-#: Words in a context, least share of a sequence, gain in nats for each number, weight of the suffix's distribution.
+#: Words in a context, share of all tokens from which the scoring pass carries a word or sequence, gain in nats for each number,
+#: weight of the suffix's distribution.
 DEPTH, P_MIN, GAIN, PSEUDO = 3, 4e-6, 3.0, 1.0
 #: Sequences of fewer occurrences never take part.
 LEAST = 4
 BEGIN, END = np.int64(-2), np.int64(-1)
-#: Tokens whose sequences are counted together, and different words a task holds before it hands on their sums.
-BLOCK_TOKENS, HELD = 2 << 20, 1 << 20
+#: Tokens whose sequences are summed together, and bits of a hash that a bitmap tells apart.
+BLOCK_TOKENS, BITS = 1 << 20, 28
 
 
 @dataclass
@@ -74,6 +81,14 @@ def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
+def last_word(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The symbol that ``joined`` put after the context."""
+    x = key.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    x = x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))
+    return (x - context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def found(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``keys`` among ``sorted_keys``, and whether they are there."""
     if not len(sorted_keys):
@@ -82,243 +97,241 @@ def found(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+def summed(keys: np.ndarray, contexts: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in the order of their unsigned values, a context of each, and the sums of ``n`` (or how many there are)."""
+    order = np.argsort(keys.view(np.uint64))
     keys = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[begin], np.add.reduceat(n[order], begin) if len(keys) else n
+    many = np.diff(np.append(begin, len(keys))) if n is None else np.add.reduceat(n[order], begin) if len(keys) else n
+    return keys[begin], contexts[order[begin]], many
 
 
-def frequent(ids: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Length, sequences and counts of at least ``least`` in a block. A sequence is looked at only where the shorter ones at its
-    place, that without its first and that without its last word, are frequent."""
-    place, key = np.arange(len(ids)), ids
-    for length in range(2, DEPTH + 2):
-        ok = np.zeros(len(ids), dtype=bool)
-        ok[place] = True
-        place = place[(at[place] >= length - 1) & ok[place - 1]]
-        before = np.zeros(len(ids), dtype=np.int64) if length > 2 else ids
-        if length > 2:
-            before[np.flatnonzero(ok)] = key
-        key = joined(before[place - 1], ids[place])
-        if not len(place):
-            return
-        each, which, n = np.unique(key, return_inverse=True, return_counts=True)
-        yield length, each[n >= least], n[n >= least]
-        keep = n[which] >= least
-        place, key = place[keep], key[keep]
-
-
-def first_counts(training: DataFrame, text_col: str = "text", p_min: float = P_MIN) -> DataFrame:
-    """``length``, ``key`` and ``n``: all words (length 1) with their counts; longer sequences that a block finds frequent."""
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, then all their second bytes and so on, which Spark's compression shrinks."""
+    return x.view(np.uint8).reshape(len(x), 8).T.tobytes()
+
+
+def numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def passes(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether a key may be in the bitmap: always, if it is."""
+    at = keys.view(np.uint64) >> np.uint64(64 - BITS)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def bitmap_of(keys: DataFrame) -> bytes:
+    """The first BITS bits of the column ``key``, as 2 ** BITS bits, compressed."""
+    bit = F.shiftrightunsigned("key", 64 - BITS)
+    page = 1 << 15  # bits of Spark's bitmaps
+    rows = keys.select(F.shiftright(bit, 15).alias("page"), bit.bitwiseAND(F.lit(page - 1)).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    got = rows.toArrow()
+    whole = np.zeros((1 << BITS) // 8, dtype=np.uint8)
+    for at, bits in zip(got["page"].to_pylist(), got["bits"], strict=True):
+        whole[at * page // 8 : (at + 1) * page // 8] = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
+    return pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def bits_of(bitmap: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(bitmap, (1 << BITS) // 8, codec="zstd"), dtype=np.uint8)
+
+
+def sequences(ids: np.ndarray, at: np.ndarray, bitmap: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, keys and contexts of what a block counts: words and pairs, or with a bitmap of pairs the longer sequences."""
+    if bitmap is None:
+        yield 1, ids[at > 0], ids[at > 0]
+    place = np.flatnonzero(at >= 1)
+    key = np.zeros(len(ids), dtype=np.int64)
+    key[place] = joined(ids[place - 1], ids[place])
+    if bitmap is None:
+        yield 2, key[place], ids[place - 1]
+        return
+    ok = np.zeros(len(ids), dtype=bool)
+    ok[place] = passes(key[place], bitmap)
+    for length in range(3, DEPTH + 2):
+        place = place[(at[place] >= length - 1) & ok[place] & ok[place - 1]]
+        longer, there = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=bool)
+        longer[place], there[place] = joined(key[place - 1], ids[place]), True
+        yield length, longer[place], key[place - 1]
+        key, ok = longer, there
+
+
+def counts(training: DataFrame, bitmap: bytes | None = None, text_col: str = "text") -> DataFrame:
+    """``length``, ``key``, ``context``, ``word`` and ``n``: all words and the pairs of LEAST occurrences or more, or with a bitmap
+    of those pairs the longer sequences of as many."""
     bounded_batches(training.sparkSession)
+    buckets = 4 * max(1, training.rdd.getNumPartitions())
+    shared = training.sparkSession.sparkContext.broadcast(bitmap)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[Tokens] = []
-        size = 0
-        words = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-
-        def rows(length: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(keys), 1 << 16):
-                some = keys[lo : lo + (1 << 16)]
-                yield pa.record_batch([pa.array(np.full(len(some), length, dtype=np.int32)), pa.array(some), pa.array(n[lo : lo + (1 << 16)])], names=["length", "key", "n"])
+        block: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs = None if shared.value is None else bits_of(shared.value)
 
         def ended() -> Iterator[pa.RecordBatch]:
-            nonlocal block, size
-            ids, at = np.concatenate([t.ids for t in block]), np.concatenate([t.at for t in block])
-            tokens = int((at > 0).sum())
-            for length, keys, n in frequent(ids, at, p_min / 2 * tokens):
-                yield from rows(length, keys, n)
-            block, size = [], 0
+            ids, at = (np.concatenate(x) for x in zip(*block, strict=True))
+            block.clear()
+            for length, *found in sequences(ids, at, pairs):
+                keys, contexts, n = summed(*found)
+                bucket = ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                ends = np.searchsorted(bucket, np.arange(buckets + 1))
+                own = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if hi > lo]
+                for i in range(0, len(own), 64):
+                    some = own[i : i + 64]
+                    data = [[planes(np.diff(keys[lo:hi], prepend=0)) for _, lo, hi in some], [planes(contexts[lo:hi]) if length > 1 else b"" for _, lo, hi in some], [planes(n[lo:hi]) for _, lo, hi in some]]
+                    yield pa.record_batch([pa.array([length] * len(some), pa.int32()), pa.array([k for k, _, _ in some], pa.int64()), *(pa.array(x, pa.binary()) for x in data)], names=["length", "bucket", "keys", "contexts", "n"])
 
+        size = 0
         for b in batches:
             texts = b.column(0).to_pylist()
-            for lo, hi in runs(texts, 4 << 20):
+            for lo, hi in runs(texts, 2 << 20):
                 t = tokens_of(texts[lo:hi])
-                keys, n = np.unique(t.ids[t.at > 0], return_counts=True)
-                words = summed(np.concatenate([words[0], keys]), np.concatenate([words[1], n]))
-                if len(words[0]) > HELD:
-                    yield from rows(1, *words)
-                    words = (words[0][:0], words[1][:0])
-                block.append(t)
+                block.append((t.ids, np.minimum(t.at, DEPTH).astype(np.int8)))
                 size += len(t.ids)
                 if size >= BLOCK_TOKENS:
                     yield from ended()
+                    size = 0
         if block:
             yield from ended()
-        yield from rows(1, *words)
-
-    sums = training.select(text_col).mapInArrow(task, "length int, key bigint, n bigint")
-    return sums.groupBy("length", "key").agg(F.sum("n").alias("n"))
 
-
-def second_counts(training: DataFrame, candidates: list[np.ndarray], text_col: str = "text") -> DataFrame:
-    """``length``, ``key``, ``context``, ``suffix``, ``word`` and the exact ``n`` of the candidates of each length from 2 on."""
-    shared = training.sparkSession.sparkContext.broadcast(candidates)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        sums = [np.zeros(len(k), dtype=np.int64) for k in known]
-        parts = [np.zeros((3, len(k)), dtype=np.int64) for k in known]
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in runs(texts):
-                t = tokens_of(texts[lo:hi])
-                shorter, place = t.ids, np.flatnonzero(t.at >= 1)
-                for i, keys in enumerate(known):
-                    key = joined(shorter[place - 1], t.ids[place])
-                    at, hit = found(key, keys)
-                    place, at, key = place[hit], at[hit], key[hit]
-                    sums[i] += np.bincount(at, minlength=len(keys))
-                    parts[i][:, at] = shorter[place - 1], shorter[place], t.ids[place]
-                    longer = np.zeros(len(t.ids), dtype=np.int64)
-                    longer[place] = key
-                    there = np.zeros(len(t.ids), dtype=bool)
-                    there[place] = True
-                    place = place[(t.at[place] >= i + 2) & there[place - 1]]
-                    shorter = longer
-        for i, keys in enumerate(known):
-            some = np.flatnonzero(sums[i])
-            yield pa.record_batch([pa.array(np.full(len(some), i + 2, dtype=np.int32)), *(pa.array(x[some]) for x in (keys, *parts[i], sums[i]))], names=["length", "key", "context", "suffix", "word", "n"])
-
-    counted = training.select(text_col).mapInArrow(task, "length int, key bigint, context bigint, suffix bigint, word bigint, n bigint")
-    return counted.groupBy("length", "key", "context", "suffix", "word").agg(F.sum("n").alias("n"))
+    def total(group: pa.Table) -> pa.Table:
+        length = group["length"][0].as_py()
+        keys = np.concatenate([np.cumsum(numbers(x)) for x in group["keys"].to_pylist()])
+        contexts = np.concatenate([numbers(x) for x in group["contexts"].to_pylist()]) if length > 1 else keys
+        keys, contexts, n = summed(keys, contexts, np.concatenate([numbers(x) for x in group["n"].to_pylist()]))
+        if length > 1:
+            keys, contexts, n = (x[n >= LEAST] for x in (keys, contexts, n))
+        return pa.table([pa.array(np.full(len(keys), length, dtype=np.int32)), *(pa.array(x) for x in (keys, contexts, last_word(keys, contexts) if length > 1 else keys, n))], names=["length", "key", "context", "word", "n"])
+
+    dealt = training.select(text_col).mapInArrow(task, "length int, bucket bigint, keys binary, contexts binary, n binary")
+    return dealt.groupBy("length", "bucket").applyInArrow(total, "length int, key bigint, context bigint, word bigint, n bigint")
+
+
+@contextmanager
+def files_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the table that they were for is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, the suffix of the context, becomes that of the sequence."""
+    for b in batches:
+        short, word = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("shorter", "word"))
+        yield pa.record_batch([*b.columns[:-1], pa.array(joined(short, word))], names=[*b.schema.names[:-1], "suffix"])
+
+
+def tree_of(words: DataFrame, longer: DataFrame, texts: int, below: float) -> DataFrame:
+    """``key``, ``n`` and ``value`` of sequences of all lengths: what each occurrence adds to a text's score.
+    ``words``: key and n; ``longer``: length, key, context, word and n."""
+    spark = words.sparkSession
+    begun = spark.createDataFrame([(int(BEGIN), texts)], "key bigint, n bigint")
+    known = words.unionByName(begun).withColumn("chance", (F.col("n") + F.lit(0.1)) / F.lit(below)).withColumn("suffix", F.lit(None).cast("bigint"))
+    levels = []  # by length of the context: its numbers, and the sequences that it begins
+    for length in range(2, DEPTH + 2):
+        own = longer.where(F.col("length") == length).select("key", "context", "word", "n")
+        of = own.groupBy("context").agg(F.sum("n").alias("followed")).join(known.select(F.col("key").alias("context"), F.col("n").alias("times"), F.col("suffix").alias("shorter")), "context")
+        of = of.select("context", "times", "shorter", ((F.col("times") - F.col("followed") + F.lit(PSEUDO)) / (F.col("times") + F.lit(PSEUDO))).alias("left"))
+        both = own.join(of, "context").select("key", "context", "n", "times", "left", "word", "shorter")
+        if length == 2:
+            both = both.withColumnRenamed("word", "suffix").drop("shorter")
+        else:
+            both = both.mapInArrow(suffixes, "key bigint, context bigint, n bigint, times bigint, left double, word bigint, suffix bigint").drop("word")
+        both = both.join(known.select(F.col("key").alias("suffix"), F.col("chance").alias("q")), "suffix")
+        both = written(both.withColumn("chance", F.col("n") / (F.col("times") + F.lit(PSEUDO)) + F.col("left") * F.col("q")), "model-tree")
+        known = both.select("key", "n", "chance", "suffix")
+        p, q = F.col("chance"), F.col("q")
+        rest = [F.greatest(F.lit(1e-12), 1 - F.sum(x)) for x in (p, q)]
+        diverges = F.first("times") * (F.sum(p * F.log(p / q)) + rest[0] * F.log(rest[0] / rest[1]))
+        kept = both.groupBy("context").agg(F.count("*").alias("many"), diverges.alias("gained")).where(F.col("gained") >= F.lit(GAIN) * (1 + F.col("many"))).select("context")
+        levels.append((of, both, kept))
+    values, longer_kept = [], None
+    for of, both, kept in reversed(levels):
+        if longer_kept is not None:
+            kept = kept.unionByName(longer_kept).distinct()
+        whole = written(of.join(kept, "context"), "model-contexts")
+        longer_kept = whole.select(F.col("shorter").alias("context"))
+        values.append(whole.select(F.col("context").alias("key"), F.col("times").alias("n"), F.log10("left").alias("value")))
+        values.append(both.join(whole.select("context"), "context", "left_semi").select("key", "n", (F.log10(F.col("chance") / F.col("q")) - F.log10("left")).alias("value")))
+    return reduce(DataFrame.unionByName, values).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
+
+
+def fit(training: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, int, int]:
+    """The values of sequences, all words with their counts, the number of tokens and of different words."""
+    first = written(counts(training, None, text_col), "model-counts")
+    words = first.where("length = 1").select("key", "n")
+    tokens, different, texts = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("key") == int(END), F.col("n"))), F.lit(0))).first()
+    pairs = first.where("length = 2")
+    second = written(counts(training, bitmap_of(pairs), text_col), "model-counts")
+    return written(tree_of(words, pairs.unionByName(second), texts, tokens + 0.1 * (different + 1)), "model-values"), words, tokens, different
+
+
+def by_text(text: np.ndarray, key: np.ndarray, texts: int) -> tuple[pa.Array, pa.Array]:
+    """For each text its different keys, and how often it has them."""
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])) if len(text) else text
+    ends = np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=texts))]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, key[new]), pa.ListArray.from_arrays(ends, np.diff(np.append(new, len(text))).astype(np.int64))
+
+
+def language_model_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", p_min: float = P_MIN) -> DataFrame:
+    """A row for each document: the id column, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
+    ``score``. ``training``: a condition on ``docs``; ``p_min``: share from which the scoring pass carries words and sequences,
+    which the result does not depend on."""
+    with files_freed(docs.sparkSession):
+        return scored_by(docs, training, id_col, text_col, p_min, *fit(docs.where(training), text_col))
 
 
-@dataclass
-class Tree:
-    """For each depth the retained contexts and what a token pays for leaving them, and their next symbols with the gain in
-    log10 over the baseline."""
-
-    contexts: list[np.ndarray]
-    leave: list[np.ndarray]
-    entries: list[np.ndarray]
-    gain: list[np.ndarray]
-
-    def gains(self, t: Tokens) -> np.ndarray:
-        """The log10 probability of each text, less that of the baseline."""
-        n = len(t.ids)
-        ending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by depth: sequences, retained ones, their places in the tree
-        key, there = t.ids, np.ones(n, dtype=bool)
-        for d, contexts in enumerate(self.contexts, 1):
-            place = np.flatnonzero(there & (t.at >= d - 1))  # a context's suffix is retained as well
-            at, hit = found(key[place], contexts)
-            there, which = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
-            there[place], which[place] = hit, at
-            ending.append((key, there, which))
-            key = np.concatenate([key[:1], joined(key[:-1], t.ids[1:])])
-        each, left = np.zeros(n), t.at > 0
-        for (key, there, which), entries, gain, leave in reversed(list(zip(ending, self.entries, self.gain, self.leave, strict=True))):
-            place = np.flatnonzero(left[1:] & there[:-1]) + 1
-            at, hit = found(joined(key[place - 1], t.ids[place]), entries)
-            each[place[hit]] += gain[at[hit]]
-            left[place[hit]] = False
-            each[place[~hit]] += leave[which[place[~hit] - 1]]
-        size = t.many + 2
-        return np.add.reduceat(each, np.cumsum(size) - size) if n else np.zeros(0)
-
-
-def tree_of(words: dict[int, int], rows: list[tuple[int, int, int, int, int, int]], tokens: int, different: int) -> Tree:
-    """``words``: counts of frequent words (and of texts, under BEGIN); ``rows``: length, key, context, suffix, word and count."""
-    below = tokens + 0.1 * (different + 1)
-    count = dict(words)  # of words and sequences, by hash
-    next_of: list[dict[int, list[tuple[int, int]]]] = [{} for _ in range(DEPTH + 1)]  # by depth and context: word and key
-    suffix: dict[int, int] = {}
-    for length, key, context, shorter, word, n in rows:
-        count[key] = n
-        suffix[key] = shorter
-        next_of[length - 1].setdefault(context, []).append((word, key))
-    chance: dict[tuple[int, int], float] = {}  # of a word after a context
-    leave: dict[int, float] = {}
-    kept: list[set[int]] = [set() for _ in range(DEPTH + 1)]
-
-    def after(context: int | None, word: int) -> float:
-        factor = 1.0
-        while context is not None and context in leave:
-            if (p := chance.get((context, word))) is not None:
-                return factor * p
-            factor *= leave[context]
-            context = suffix.get(context)
-        return factor * (words.get(word, 0) + 0.1) / below
-
-    for d in range(1, DEPTH + 1):
-        for context, following in next_of[d].items():
-            n, parent = count.get(context), suffix.get(context)
-            if n is None or d > 1 and parent not in leave:
-                continue
-            left = (n - sum(count[k] for _, k in following) + PSEUDO) / (n + PSEUDO)
-            shorter = [after(parent, w) for w, _ in following]
-            own = [count[k] / (n + PSEUDO) + left * q for (_, k), q in zip(following, shorter, strict=True)]
-            rest = max(1e-12, 1 - sum(own)), max(1e-12, 1 - sum(shorter))
-            gained = n * (sum(p * np.log(p / q) for p, q in zip(own, shorter, strict=True)) + rest[0] * np.log(rest[0] / rest[1]))
-            leave[context] = left
-            chance.update(((context, w), p) for (w, _), p in zip(following, own, strict=True))
-            if gained >= GAIN * (1 + len(following)):
-                kept[d].add(context)
-    for d in range(DEPTH, 1, -1):
-        kept[d - 1].update(suffix[c] for c in kept[d])
-    tree = Tree([], [], [], [])
-    for d in range(1, DEPTH + 1):
-        contexts = np.array(sorted(kept[d]), dtype=np.int64)
-        gain = {k: np.log10(chance[c, w] * below / (words.get(w, 0) + 0.1)) for c in kept[d] for w, k in next_of[d][c]}
-        tree.contexts.append(contexts)
-        tree.leave.append(np.log10([leave[c] for c in contexts.tolist()]) if len(contexts) else np.zeros(0))
-        tree.entries.append(np.array(sorted(gain), dtype=np.int64))
-        tree.gain.append(np.array([gain[k] for k in sorted(gain)]))
-    return tree
-
-
-def fit(training: DataFrame, text_col: str = "text", p_min: float = P_MIN) -> tuple[Tree, DataFrame, dict[int, int], int, int]:
-    """The tree, all words with their counts, the frequent words, the number of tokens and of different words."""
-    sums = written(first_counts(training, text_col, p_min), "model-counts")
-    words = sums.where("length = 1").select("key", "n")
-    tokens, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(float(LEAST), p_min * tokens)
-    columns = lambda df: [c.to_numpy() for c in df.toArrow().columns]
-    often = dict(zip(*(c.tolist() for c in columns(words.where((F.col("n") >= p_min * tokens) | (F.col("key") == int(END)))))))  # 1 / p_min at most
-    length, key = columns(sums.where((F.col("length") > 1) & (F.col("n") >= least - p_min / 2 * tokens)).select("length", "key"))
-    candidates = [np.sort(key[length == k]) for k in range(2, DEPTH + 2)]
-    rows = columns(second_counts(training, candidates, text_col).where(F.col("n") >= least).select("length", "key", "context", "suffix", "word", "n"))
-    begun = often | {int(BEGIN): often.get(int(END), 0)}
-    tree = tree_of(begun, sorted(zip(*(c.tolist() for c in rows), strict=True)), tokens, different)
-    return tree, words, often, tokens, different
-
-
-def language_model_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: the id column, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
-    ``score``. ``training``: a condition on ``docs``."""
-    tree, words, often, tokens, different = fit(docs.where(training), text_col)
+def scored_by(docs: DataFrame, training: Column, id_col: str, text_col: str, p_min: float, values: DataFrame, words: DataFrame, tokens: int, different: int) -> DataFrame:
     below = float(np.log10(tokens + 0.1 * (different + 1)))
-    keys = np.array(sorted(often), dtype=np.int64)
-    model = docs.sparkSession.sparkContext.broadcast((tree, keys, np.array([often[k] for k in keys.tolist()], dtype=np.int64)))
+    hot = F.col("n") >= p_min * tokens  # DEPTH / p_min sequences at most, and 1 / p_min words
+    columns = lambda df: [c.to_numpy() for c in df.orderBy("key").toArrow().columns]
+    often, valued = columns(words.where(hot | (F.col("key") == int(END))).select("key", "n")), columns(values.where(hot).select("key", "value"))
+    model = docs.sparkSession.sparkContext.broadcast((*often, *valued, bitmap_of(values)))
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("row", "n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base", "gain")), T.StructField("rare", longs), T.StructField("times", longs)])
+    lists = ("rare", "times", "sequences", "found")
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("row", "n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base", "gain")), *(T.StructField(c, longs) for c in lists)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, many = model.value
+        keys, many, valued, value, bitmap = model.value
+        bitmap = bits_of(bitmap)
         logs = np.log10(many + 0.1) - below
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in runs(texts):
                 t, n = tokens_of(texts[lo:hi]), hi - lo
-                real = t.at > 0
-                text, word = np.repeat(np.arange(n), t.many + 2)[real], t.ids[real]
+                real, of = t.at > 0, np.repeat(np.arange(n), t.many + 2)
+                text, word = of[real], t.ids[real]
                 at, hit = found(word, keys)
                 base = np.bincount(text[hit], weights=logs[at[hit]], minlength=n).astype(np.float64)
                 known = np.bincount(text[hit], minlength=n)
-                rare, other = text[~hit], word[~hit]
-                order = np.lexsort((other, rare))
-                rare, other = rare[order], other[order]
-                new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (other[1:] != other[:-1])])) if len(rare) else rare
-                times = np.diff(np.append(new, len(rare)))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rare[new], minlength=n))]).astype(np.int32)
-                yield pa.record_batch([b.column(0).slice(lo, n), b.column(2).slice(lo, n), pa.array(row + np.arange(n)), pa.array(t.many + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(tree.gains(t)), pa.ListArray.from_arrays(ends, other[new]), pa.ListArray.from_arrays(ends, times.astype(np.int64))], names=schema.names)
+                rare = by_text(text[~hit], word[~hit], n)
+                gain, key, others = np.zeros(n), t.ids, []
+                for length in range(1, DEPTH + 2):
+                    if length > 1:
+                        key = np.concatenate([key[:1], joined(key[:-1], t.ids[1:])])
+                    place = np.flatnonzero(t.at >= length - 1)
+                    place = place[passes(key[place], bitmap)]
+                    at, hit = found(key[place], valued)
+                    gain += np.bincount(of[place[hit]], weights=value[at[hit]], minlength=n)
+                    others.append((of[place[~hit]], key[place[~hit]]))
+                sequences = by_text(*(np.concatenate(x) for x in zip(*others, strict=True)), n)
+                yield pa.record_batch([b.column(0).slice(lo, n), b.column(2).slice(lo, n), pa.array(row + np.arange(n)), pa.array(t.many + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain), *rare, *sequences], names=schema.names)
                 row += n
 
     scored = written(docs.select(id_col, text_col, F.coalesce(~training, F.lit(False)).alias("held_out")).mapInArrow(task, schema), "model-scores")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("key"), F.col("t.times").alias("times"))
+    listed = lambda keys, times: scored.select("row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("t")).select("row", "t.key", "t.times")
     log = F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) - F.lit(below)
-    logs = rare.join(words, "key", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("k"), F.sum(F.col("times") * log).alias("l"))
-    whole = scored.drop("rare", "times").join(logs, "row", "left").withColumn("base_score", F.col("base") + F.coalesce("l", F.lit(0.0)))
-    return whole.select(id_col, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+    logs = listed("rare", "times").join(words, "key", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("k"), F.sum(F.col("times") * log).alias("l"))
+    logs = written(logs, "model-sums")
+    added = [written(listed("sequences", "found").where(F.col("key").bitwiseAND(F.lit(3)) == part).join(values.where(~hot), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("g")), "model-sums") for part in range(4)]  # a quarter of the shuffle files at a time
+    added = reduce(DataFrame.unionByName, added).groupBy("row").agg(F.sum("g").alias("g"))
+    whole = scored.drop(*lists).join(logs, "row", "left").join(added, "row", "left").withColumn("base_score", F.col("base") + F.coalesce("l", F.lit(0.0)))
+    return whole.select(id_col, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain") + F.coalesce("g", F.lit(0.0))).alias("score"))

@@ -111,6 +111,19 @@ def test_suffix_tree_and_baseline(docs, empty, texts, remainder):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score <= 0 for r in untrained)
 
 
+def test_suffix_tree_keeps_rare_passages_of_a_large_corpus(spark):
+    """A sequence's share of all tokens decides where it is looked up, never whether it is in the model."""
+    passage = "once upon a time there was a small brown fox"
+    rows = [(i, passage) for i in range(6)] + [(100 + i, " ".join(f"w{(i * 37 + k * k) % 91}" for k in range(90))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    of = lambda share: {r.doc_id: (r.n_known, r.base_score, r.score) for r in suffix_tree.language_model_scores(docs, F.lit(True), p_min=share).collect()}
+    joined, carried = of(0.01), of(1e-9)
+    assert joined[0][2] > joined[0][1] + 10
+    assert all(np.allclose(joined[i], carried[i], rtol=1e-9) for i, _ in rows)
+    keys, contexts = np.array([5, -7, 1 << 62]), np.array([-1, 3, -(1 << 61)])
+    assert (suffix_tree.last_word(suffix_tree.joined(contexts, keys), contexts) == keys).all()
+
+
 def test_next_symbol_chances_sum_to_one(texts):
     streams = [["\x02", *WORD.findall((t or "").translate(LOW)), "\x03"] for t in texts]
     words = Counter(w for s in streams for w in s[1:])
