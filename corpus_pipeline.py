@@ -1,13 +1,13 @@
 """From raw documents to packed training sequences: language, quality, near-duplicates, packing.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor kept, and is written as Parquet before the next
-one reads it. All but the last return the columns of ``documents``. Repeated ids: one row of each id stays after the
-near-duplicate stage; rows without an id pass it, as they can't be told apart.
+one reads it. All but the last return the columns of ``documents``. The near-duplicate stage numbers the rows in a written
+table, so that rows of repeated ids, or without an id, are told apart: exactly one row of each group stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dupescope.llm import langid, packing, quality_model, simhash
@@ -31,12 +31,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns, one.alias("_row")).where("_row = 1").drop("_row")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group: that of the smallest id, one without an id only if the group has no other."""
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-numbered")
+    ids = numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_id"), "text")
+    groups = simhash.near_duplicates(ids, "_id")
+    first = groups.where(F.col("_id._row") == F.col("component_id._row")).select(F.col("_id._row").alias("_row"))
+    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,6 +179,16 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{(i * i + 3 * i) % 53}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (7, a), (7, b), (None, a), *[(None, c)] * 5, (None, d), (9, d)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert sorted(got, key=lambda r: r.text) == [(3, a), (7, b), (None, c), (9, d)]
+
+
 def test_registered_queries_run(spark):
     from __spark_entry__ import queries
     from dupescope.llm.queries import REGISTRY
