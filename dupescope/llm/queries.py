@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupescope.llm import bpe, chat, langid, neighbours, packing, quality_model, quality_rules, simhash, suffix_tree, tokenfile
+from dupescope.llm import bpe, chat, langid, neighbours, packing, quality_model, quality_rules, simhash, suffix_tree, tokenfile, turn_repair
 from dupescope.llm.common import bounded_batches, id_remainder, merged_partitions, table
 from dupescope.llm.tokens import default_vocabulary
 from dupescope.session import scratch_path
@@ -89,6 +89,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """Rows lost, emptied, cut short, doubled or given to the user, by the remainder of a checksum of ``conv_id:turn``."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    how = F.pmod(F.crc32(F.concat_ws(":", part("conv_id"), part("turn")).cast("binary")), F.lit(20))
+    rows = conversations.select("conv_id", "turn", part("role").alias("role"), part("text").alias("text"), how.alias("how")).where("how <> 0")
+    text = F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("how") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("how") == 3, 2).otherwise(1))))
+    return rows.drop("col")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = turn_repair.summaries(turn_repair.repaired_turns(damaged_turns(conversations)))
+    every = conversations.select(F.col("conv_id").alias("of")).distinct()
+    longs = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("of").eqNullSafe(F.col("conv_id")), "left").select(F.col("of").alias("conv_id"), *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
 REGISTRY = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -100,6 +118,7 @@ REGISTRY = {
     "op8_token_files": op8_token_files,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash": op10_simhash,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
