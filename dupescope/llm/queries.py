@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupescope.llm import bpe, chat, langid, neighbours, packing, quality_model, quality_rules, simhash, suffix_tree, tokenfile, turn_repair
+from dupescope.llm import bpe, chat, langid, line_dedup, neighbours, packing, quality_model, quality_rules, simhash, suffix_tree, tokenfile, turn_repair
 from dupescope.llm.common import bounded_batches, id_remainder, merged_partitions, table
 from dupescope.llm.tokens import default_vocabulary
 from dupescope.session import scratch_path
@@ -107,6 +107,11 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, F.col("of").eqNullSafe(F.col("conv_id")), "left").select(F.col("of").alias("conv_id"), *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("line_dedup.lines").alias("n_lines"), F.col("line_dedup.dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 REGISTRY = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -119,6 +124,7 @@ REGISTRY = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash": op10_simhash,
     "op11_turn_repair": op11_turn_repair,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -140,5 +146,20 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(length(body) + CASE WHEN begins THEN length('<|im_start|>') + length(head) + 1 + length('<|im_end|>') + 1 ELSE length('<|im_sep|>') END)::BIGINT AS formatted_chars
 FROM seen GROUP BY conv_id
+""",
+    "op13_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), firsts AS (
+  SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), marked AS (
+  SELECT k.*, f.key IS NULL OR f.first_doc = k.doc_id AS stays FROM keyed k LEFT JOIN firsts f ON f.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE stays), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
 """,
 }
