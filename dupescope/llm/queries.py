@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupescope.llm import bpe, chat, langid, line_dedup, neighbours, packing, quality_model, quality_rules, simhash, suffix_tree, tokenfile, turn_repair
+from dupescope.llm import bpe, chat, langid, line_dedup, neighbours, packing, quality_model, quality_rules, simhash, spelling, suffix_tree, tokenfile, turn_repair
 from dupescope.llm.common import bounded_batches, id_remainder, merged_partitions, table
 from dupescope.llm.tokens import default_vocabulary
 from dupescope.session import scratch_path
@@ -107,6 +107,20 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, F.col("of").eqNullSafe(F.col("conv_id")), "left").select(F.col("of").alias("conv_id"), *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
 
 
+def misspelt(docs: DataFrame) -> DataFrame:
+    """``word``: the runs of all texts, some of which lose a letter, by a checksum of ``doc_id:run``."""
+    run, length = F.col("run"), F.length("run")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = F.pmod(F.col("h"), length).cast("int")
+    rows = spelling.runs_of(docs, "text", "doc_id").select("run", h.alias("h"))
+    return rows.select(F.when(F.pmod(F.col("h"), F.lit(97)) == 0, F.concat(run.substr(F.lit(1), at), run.substr(at + 2, length))).otherwise(run).alias("word"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(misspelt(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return spelling.spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.col("line_dedup.lines").alias("n_lines"), F.col("line_dedup.dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -124,6 +138,7 @@ REGISTRY = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash": op10_simhash,
     "op11_turn_repair": op11_turn_repair,
+    "op12_spelling": op12_spelling,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -146,6 +161,36 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(length(body) + CASE WHEN begins THEN length('<|im_start|>') + length(head) + 1 + length('<|im_end|>') + 1 ELSE length('<|im_sep|>') END)::BIGINT AS formatted_chars
 FROM seen GROUP BY conv_id
+""",
+    "op12_spelling": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS times FROM runs GROUP BY ALL
+), coded AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS bytes FROM counted
+), summed AS MATERIALIZED (
+  SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) AS h FROM coded
+), words AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM summed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), cut AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, min({'less': -other_n, 'form': other}) AS b FROM pairs GROUP BY word
+), formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 2 * n THEN b.form END AS form, CASE WHEN -b.less >= 2 * n THEN -b.less END AS form_n FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.at WHERE formed.form IS NOT NULL
+)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN walk w USING (word) JOIN formed l ON l.word = w.at AND l.form IS NULL
 """,
     "op13_line_dedup": r"""
 WITH lines AS (
