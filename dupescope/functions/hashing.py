@@ -24,6 +24,12 @@ def h(*parts, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def h60(*parts, seed: int = 42) -> Column:
+    """60-bit unsigned hash as bigint, for draws from wide ranges."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[_as_col(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def uniform(*parts, seed: int = 42) -> Column:
     """Uniform draw in [0, 1)."""
     return h(*parts, seed=seed) / F.lit(TWO_32)
@@ -35,6 +41,11 @@ def h_sql(*parts: str, seed: int = 42) -> str:
     return f"CAST(('0x' || substr(md5(concat_ws('|', {args})), 1, 8)) AS BIGINT)"
 
 
+def h60_sql(*parts: str, seed: int = 42) -> str:
+    args = ", ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
+    return f"CAST(('0x' || substr(md5(concat_ws('|', {args})), 1, 15)) AS BIGINT)"
+
+
 def uniform_sql(*parts: str, seed: int = 42) -> str:
     return f"({h_sql(*parts, seed=seed)} / 4294967296.0)"
 

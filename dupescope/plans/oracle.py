@@ -176,8 +176,9 @@ ORACLES = {
 
 def oracle_sql() -> dict[str, str]:
     from dupescope.plans.coverage_oracle import ORACLES as more
+    from dupescope.plans.pair_queries import ORACLES as pairs
 
-    return {name: fn() for name, fn in (ORACLES | more).items()}
+    return {name: fn() for name, fn in (ORACLES | more | pairs).items()}
 
 
 # ---------------------------------------------------------------- text queries
