@@ -177,8 +177,9 @@ ORACLES = {
 def oracle_sql() -> dict[str, str]:
     from dupescope.plans.coverage_oracle import ORACLES as more
     from dupescope.plans.pair_queries import ORACLES as pairs
+    from dupescope.plans.pruned_queries import ORACLES as pruned
 
-    return {name: fn() for name, fn in (ORACLES | more | pairs).items()}
+    return {name: fn() for name, fn in (ORACLES | more | pairs | pruned).items()}
 
 
 # ---------------------------------------------------------------- text queries

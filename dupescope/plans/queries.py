@@ -44,13 +44,14 @@ REGISTRY = {
 
 
 def _merge():
-    from dupescope.plans import corpus_queries, coverage_queries, example_queries, pair_queries, stream_queries, text_queries
+    from dupescope.plans import corpus_queries, coverage_queries, example_queries, pair_queries, pruned_queries, stream_queries, text_queries
     REGISTRY.update(text_queries.REGISTRY)
     REGISTRY.update(corpus_queries.REGISTRY)
     REGISTRY.update(example_queries.REGISTRY)
     REGISTRY.update(stream_queries.REGISTRY)
     REGISTRY.update(coverage_queries.REGISTRY)
     REGISTRY.update(pair_queries.REGISTRY)
+    REGISTRY.update(pruned_queries.REGISTRY)
 
 
 _merge()
