@@ -157,11 +157,14 @@ def task_tables(long_metrics: DataFrame, tasks: list[str]) -> dict[str, DataFram
             for t in tasks}
 
 
-def relevant_train(queries: DataFrame, train: DataFrame) -> DataFrame:
-    """JOIN-10: (query_pos, cand_pos) of the train reports in the query's
-    cluster; a query without any has no row (WIN-8 leaves it out)."""
-    own = queries.select("query_pos", F.col("query_disc").alias("disc_id"))
-    return own.join(train.select("disc_id", F.col("pos").alias("cand_pos")), "disc_id").select("query_pos", "cand_pos")
+def relevant_counts(queries: DataFrame, train: DataFrame) -> DataFrame:
+    """JOIN-10: (query_pos, query_disc, n_rel), the number of train reports in
+    the query's cluster; a query without any has no row (WIN-8 leaves it out).
+    A relevance set is a cluster, so it is named by ``disc_id`` and counted
+    once per cluster; its (query, report) pairs are never listed."""
+    sizes = train.groupBy("disc_id").agg(F.count(F.lit(1)).alias("n_rel"))
+    own = queries.select("query_pos", "query_disc")
+    return own.join(sizes, own["query_disc"] == sizes["disc_id"]).select("query_pos", "query_disc", "n_rel")
 
 
 # ---------------------------------------------------------------- WIN-8 / WIN-9
@@ -169,17 +172,14 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, ks: list[int], mrr_k: int
                ndcg_k: int = 10) -> DataFrame:
     """WIN-8: fixed-corpus IR metrics over ranked lists.
 
-    ``ranked(query_pos, rank, cand_pos)``; ``relevant(query_pos, cand_pos)``
-    (JOIN-10). Queries without relevant documents are excluded. Returns one
-    row per k: accuracy, precision, recall, MAP (normalised by min(k, |rel|)),
-    plus MRR@mrr_k and NDCG@ndcg_k as columns.
+    ``ranked(query_pos, rank, cand_disc)``; ``relevant(query_pos, query_disc,
+    n_rel)`` (JOIN-10): a candidate is a hit if it is of the query's cluster.
+    Queries without relevant documents are excluded. Returns one row per k:
+    accuracy, precision, recall, MAP (normalised by min(k, n_rel)), plus
+    MRR@mrr_k and NDCG@ndcg_k as columns.
     """
-    n_rel = relevant.groupBy("query_pos").agg(F.count(F.lit(1)).alias("n_rel"))
-    hits = (
-        ranked.join(relevant.withColumn("_r", F.lit(1)), ["query_pos", "cand_pos"], "left")
-        .withColumn("hit", F.coalesce(F.col("_r"), F.lit(0)))
-        .join(n_rel, "query_pos")
-    )
+    n_rel = relevant.select("query_pos", "n_rel")
+    hits = ranked.join(relevant, "query_pos").withColumn("hit", (F.col("cand_disc") == F.col("query_disc")).cast("int"))
     w = Window.partitionBy("query_pos").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.withColumn("_cum", F.sum("hit").over(w))
     cut = cut_at_ks(hits, ks)
@@ -215,5 +215,7 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, ks: list[int], mrr_k: int
 
 
 def best_run(runs: DataFrame, metric_col: str = "map", run_col: str = "run") -> DataFrame:
-    """WIN-9: the run with the highest metric (``max_by``)."""
-    return runs.agg(F.max_by(run_col, metric_col).alias(run_col), F.max(metric_col).alias(metric_col))
+    """WIN-9: the run with the highest metric, of equal ones the first by name; runs without the metric take no part."""
+    known = runs.where(F.col(metric_col).isNotNull())
+    best = known.agg(F.min(F.struct((-F.col(metric_col)).alias("less"), F.col(run_col).alias("run"))).alias("b"))
+    return best.select(F.col("b.run").alias(run_col), (-F.col("b.less")).alias(metric_col))

@@ -6,7 +6,7 @@ from dupescope.functions.hashing import h_sql, uniform_lanes_sql
 from dupescope.functions.lexicon import VERB_LEMMAS
 from dupescope.plans import oracle as O
 
-DIM = 4
+DIM = 300
 KS = [1, 5, 10, 15, 20, 25]
 
 
@@ -57,12 +57,12 @@ def lemmas_cte() -> str:
     for i, (cut, base) in enumerate((("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", ""))):
         tries.append(f"SELECT word, {i} AS i, left(word, -{len(cut)}) || '{base}' AS lemma FROM voc WHERE ends_with(word, '{cut}')")
     return f"""
-voc AS (SELECT DISTINCT unnest(tokens) AS word FROM r),
+voc AS MATERIALIZED (SELECT DISTINCT unnest(tokens) AS word FROM r),
 tries AS ({' UNION ALL '.join(tries)}),
-reg AS (SELECT word, arg_min(lemma, i) AS lemma FROM tries
-        WHERE length(lemma) >= 3 AND lemma <> word AND lemma IN (SELECT word FROM voc) GROUP BY word),
+reg AS MATERIALIZED (SELECT t.word, arg_min(t.lemma, t.i) AS lemma FROM tries t SEMI JOIN voc ON voc.word = t.lemma
+        WHERE length(t.lemma) >= 3 AND t.lemma <> t.word GROUP BY t.word),
 irr(word, lemma) AS (VALUES {irregular}),
-lem AS (SELECT voc.word, coalesce(irr.lemma, reg.lemma) AS lemma FROM voc LEFT JOIN irr USING (word) LEFT JOIN reg USING (word)
+lem AS MATERIALIZED (SELECT voc.word, coalesce(irr.lemma, reg.lemma) AS lemma FROM voc LEFT JOIN irr USING (word) LEFT JOIN reg USING (word)
         WHERE coalesce(irr.lemma, reg.lemma) <> voc.word)"""
 
 
@@ -140,12 +140,14 @@ aw AS (SELECT DISTINCT unnest(tokens) AS word FROM r),
 sw AS (SELECT DISTINCT unnest(tokens) AS word FROM r WHERE split = 'test')"""
 
 
-def _rounded(digits: int = 6) -> str:
-    return f"list_transform(v, lambda x: round(x, {digits})) AS vector"
+def _digest(bits: int = 32, v: str = "v") -> str:
+    whole = f"list_transform({v}, lambda x: CAST(floor(x * {1 << bits}) AS BIGINT))"
+    return (f"CAST(len({v}) AS BIGINT) AS n, {whole}[1] AS first, "
+            f"CAST(list_sum(list_transform({whole}, lambda x, i: x * i)) AS BIGINT) AS checksum")
 
 
 def centred_vectors() -> str:
-    return O._with_text(WORDS + f", v AS ({_vectors('tw', centred=True)}) SELECT word, {_rounded()} FROM v")
+    return O._with_text(WORDS + f", v AS ({_vectors('tw', centred=True)}) SELECT word, {_digest(40)} FROM v")
 
 
 def overlay_vectors() -> str:
@@ -153,7 +155,7 @@ def overlay_vectors() -> str:
     return O._with_text(WORDS + f""",
 own AS ({_vectors('tw')}), pre AS ({_vectors(other, seed=7)}),
 j AS (SELECT coalesce(pre.word, own.word) AS word, coalesce(pre.v, own.v) AS v FROM own FULL JOIN pre ON own.word = pre.word)
-SELECT word, {_rounded()} FROM j""")
+SELECT word, {_digest()} FROM j""")
 
 
 def _grams(word: str) -> str:
@@ -163,15 +165,15 @@ def _grams(word: str) -> str:
 
 
 def unseen_word_vectors() -> str:
-    mean = ", ".join(f"avg(v[{i + 1}])" for i in range(DIM))
+    """The mean is linear, so both sums over the 300 numbers may be taken before the averages."""
     return O._with_text(WORDS + f""",
 own AS ({_vectors('tw')}),
-og AS (SELECT unnest({_grams('word')}) AS gram, v FROM own),
-gv AS (SELECT gram, [{mean}] AS v FROM og GROUP BY gram),
+osum AS (SELECT word, list_sum(v) AS a, list_sum(list_transform(v, lambda x, i: x * i)) AS b FROM own),
+og AS (SELECT unnest({_grams('word')}) AS gram, a, b FROM osum),
+gv AS (SELECT gram, avg(a) AS a, avg(b) AS b FROM og GROUP BY gram),
 un AS (SELECT word FROM sw WHERE word NOT IN (SELECT word FROM tw)),
-ug AS (SELECT word, unnest({_grams('word')}) AS gram FROM un),
-uv AS (SELECT word, [{mean}] AS v FROM ug JOIN gv USING (gram) GROUP BY word)
-SELECT word, {_rounded()} FROM uv""")
+ug AS (SELECT word, unnest({_grams('word')}) AS gram FROM un)
+SELECT word, CAST({DIM} AS BIGINT) AS n, round(avg(a), 4) AS total, round(avg(b), 2) AS weighted FROM ug JOIN gv USING (gram) GROUP BY word""")
 
 
 def pooled_vectors() -> str:
@@ -184,9 +186,10 @@ SELECT label, list(round(x, 6) ORDER BY i) AS vector FROM p GROUP BY label"""
 
 def vector_files() -> str:
     return O._with_text(WORDS + f""",
-v AS ({_vectors('tw')})
-SELECT word, kind, list_transform(CASE WHEN kind = 'text' THEN CAST(CAST(CAST(v AS VARCHAR[]) AS FLOAT[]) AS DOUBLE[]) ELSE v END, lambda x: floor(x * 4096) / 4096) AS vector
-FROM v, (VALUES ('text'), ('json'), ('parquet')) k(kind)""")
+v AS ({_vectors('tw')}),
+w AS (SELECT word, kind, CASE WHEN kind = 'text' THEN CAST(CAST(CAST(v AS VARCHAR[]) AS FLOAT[]) AS DOUBLE[]) ELSE v END AS v
+      FROM v, (VALUES ('text'), ('json'), ('parquet')) k(kind))
+SELECT word, kind, {_digest(12)} FROM w""")
 
 
 def approaches_ranked() -> str:
@@ -217,7 +220,7 @@ def best_model() -> str:
     return f"""
 WITH m AS (SELECT 'TASK' AS run, map FROM ({O.dense_eval()}) WHERE k = 25
            UNION ALL SELECT 'PT_TASK', map FROM ({_half()}) WHERE k = 25)
-SELECT arg_max(run, map) AS run, max(map) AS map FROM m"""
+SELECT run, map FROM m ORDER BY map DESC, run LIMIT 1"""
 
 
 def validation_metrics() -> str:

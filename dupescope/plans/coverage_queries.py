@@ -20,14 +20,14 @@ from dupescope.operators import rows as R
 from dupescope.operators import similarity as S
 from dupescope.operators import vectors as V
 from dupescope.operators.positions import positional_split, with_positions
-from dupescope.plans.corpus_queries import BLEND_W, _blend_reports
+from dupescope.plans.corpus_queries import BLEND_W, VECTOR_SIZE, _blend_reports
 from dupescope.plans.example_queries import doc_sentences
 from dupescope.plans.reports import KS, dense_reports, text_reports
 from dupescope.session import scratch_path
 from dupescope.sources import bindings as B
 from dupescope.sources import readers, sinks
 
-DIM = 4  # of the small word-vector tables
+DIM = VECTOR_SIZE
 RUNS = {"TASK": 64, "PT_TASK": 32}  # models: the vectors whole, and their first half
 
 
@@ -155,16 +155,23 @@ def _rounded(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
+def _digest(df: DataFrame, *keys: str, bits: int = 32) -> DataFrame:
+    """Whole vectors of exact numbers as whole numbers: how many there are, the first, and a sum weighted by place."""
+    whole = F.transform("vector", lambda x: F.floor(x * float(1 << bits)).cast("bigint"))
+    weighted = F.aggregate(F.transform(whole, lambda x, i: x * (i + 1).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return df.select(*keys, F.size("vector").cast("bigint").alias("n"), whole[0].alias("first"), weighted.alias("checksum"))
+
+
 def centred_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC-3."""
-    return _rounded(V.random_vectors(_train_words(spark, sf_dir), DIM, centred=True), "word")
+    return _digest(V.random_vectors(_train_words(spark, sf_dir), DIM, centred=True), "word", bits=40)
 
 
 def overlay_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-12: the train words' vectors under those of the words with an ``e``, drawn with another seed."""
     words = C.word_freq(text_reports(spark, sf_dir)).select("word")
     other = V.random_vectors(words.where(F.col("word").contains("e")), DIM, seed=7)
-    return _rounded(V.overlay_pretrained(V.random_vectors(_train_words(spark, sf_dir), DIM), other), "word")
+    return _digest(V.overlay_pretrained(V.random_vectors(_train_words(spark, sf_dir), DIM), other), "word")
 
 
 def unseen_word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +179,9 @@ def unseen_word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = _train_words(spark, sf_dir)
     grams = V.subword_vectors(V.random_vectors(train, DIM))
     test = C.word_freq(text_reports(spark, sf_dir).filter(F.col("split") == "test")).select("word")
-    return _rounded(V.oov_vectors(test.join(train, "word", "left_anti"), grams), "word")
+    vectors = V.oov_vectors(test.join(train, "word", "left_anti"), grams)
+    sums = [F.aggregate(v, F.lit(0.0), lambda a, x: a + x) for v in ("vector", F.transform("vector", lambda x, i: x * (i + 1)))]
+    return vectors.select("word", F.size("vector").cast("bigint").alias("n"), F.round(sums[0], 4).alias("total"), F.round(sums[1], 2).alias("weighted"))
 
 
 def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +202,7 @@ def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = readers.read_vectors_text(spark, text).select("word", F.lit("text").alias("kind"), F.col("vector").cast("array<double>").alias("vector"))
     out = out.unionByName(readers.read_vectors_json(spark, maps).withColumn("kind", F.lit("json")))
     out = out.unionByName(spark.read.parquet(table).withColumn("kind", F.lit("parquet")))
-    return out.select("word", "kind", F.transform("vector", lambda x: F.floor(x * 4096) / 4096).alias("vector"))
+    return _digest(out, "word", "kind", bits=12)
 
 
 # ---------------------------------------------------------------- ranking and evaluation
@@ -238,7 +247,7 @@ def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = reports.filter(F.col("split") == "train")
     queries = reports.filter(F.col("split") == "test").select(F.col("pos").alias("query_pos"), F.col("id").alias("query_id"), F.col("disc_id").alias("query_disc"), "vector")
     ranked = S.dense_topk(queries, train, max(KS))
-    m = E.ir_metrics(ranked, E.relevant_train(queries, train), KS)
+    m = E.ir_metrics(ranked, E.relevant_counts(queries, train), KS)
     return m.select("k", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "map", "mrr", "ndcg")))
 
 

@@ -63,9 +63,10 @@ def normalize_sentence_sql(x: str) -> str:
 
 
 def preprocess_sql(x: str) -> str:
+    """The chain is written once; a list of one element carries its result to the test for nothing left."""
     sents = split_sentences_sql(remove_noise_sql(x))
     normed = f"list_filter(list_transform({sents}, lambda s: {normalize_sentence_sql('s')}), lambda s: len(s) >= 3)"
-    return f"(CASE WHEN len({normed}) > 0 THEN {normed} END)"
+    return f"list_filter([{normed}], lambda c: len(c) > 0)[1]"
 
 
 def format_sections_sql(x: str) -> str:
@@ -103,7 +104,7 @@ raw AS (SELECT d.id,
 def text_reports_cte() -> str:
     """r(id, disc_id, summary, description, tokens, pos, split) from documents."""
     return raw_reports_cte() + f""",
-prep AS (SELECT id, disc_id, {preprocess_sql('summary')} AS summary,
+prep AS MATERIALIZED (SELECT id, disc_id, {preprocess_sql('summary')} AS summary,
                 {preprocess_sql('description')} AS description FROM raw),
 kept AS (SELECT * FROM prep WHERE summary IS NOT NULL OR description IS NOT NULL),
 r0 AS (SELECT *, flatten(list_concat(coalesce(summary, []), coalesce(description, []))) AS tokens,

@@ -9,7 +9,7 @@ TABLES = "documents embeddings pages conversations".split()
 
 def _norm(v):
     if isinstance(v, float):
-        return round(v, 6)
+        return repr(round(v, 6))  # minus zero is not zero
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v

@@ -46,15 +46,21 @@ def test_tables_by_task(spark):
 def test_relevance_sets_and_ir_metrics(spark):
     train = spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "pos bigint, disc_id bigint")
     queries = spark.createDataFrame([(10, 1), (11, 2), (12, 9)], "query_pos bigint, query_disc bigint")
-    relevant = E.relevant_train(queries, train)
-    assert sorted(map(tuple, relevant.collect())) == [(10, 0), (10, 1), (11, 2)]
+    relevant = E.relevant_counts(queries, train)
+    assert sorted(map(tuple, relevant.collect())) == [(10, 1, 2), (11, 2, 1)]
     ranked = spark.createDataFrame([(10, 1, 2), (10, 2, 0), (11, 1, 2), (12, 1, 0)], "query_pos bigint, rank int, cand_pos bigint")
+    ranked = ranked.join(train.select(F.col("pos").alias("cand_pos"), F.col("disc_id").alias("cand_disc")), "cand_pos")
     m = {r.k: r for r in E.ir_metrics(ranked, relevant, [1, 2]).collect()}  # query 12 has no relevant report and is left out
     assert (m[1].accuracy, m[1].precision, m[1].recall) == (0.5, 0.5, 0.5)
     assert (m[2].accuracy, m[2].precision, m[2].recall) == (1.0, 0.5, 0.75)
     assert abs(m[2].map - (0.5 / 2 + 1) / 2) < 1e-12 and m[2].mrr == 0.75
 
 
+def test_best_run_of_equal_ones_is_the_first_by_name(spark):
+    runs = spark.createDataFrame([("c", 0.5), ("b", 0.7), ("a", 0.7), ("z", None)], "run string, map double")
+    assert tuple(E.best_run(runs).first()) == ("a", 0.7) and tuple(E.best_run(runs.where("run = 'z'")).first()) == (None, None)
+
+
 def test_shared_checkpoint_folder_is_asked_for(monkeypatch):
     import pytest
 
