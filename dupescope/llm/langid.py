@@ -5,8 +5,9 @@ and spaces, is cut into blocks; each block is compressed with every dictionary o
 whole text. The smallest sum names the language. A document is rejected if the next language's sum is larger by less than
 ``margin`` (as a share of the smallest).
 
-The dictionaries are fitted on a bounded sample: for each language at most ``PASSAGES`` texts, picked by a hash of the id, and
-one passage of at most ``PASSAGE_CHARS`` characters at a hashed place of each. Texts of one language quote lines of another; so
+The dictionaries are fitted on a bounded sample: for each of at most ``LANGUAGES`` languages at most ``PASSAGES`` texts, picked by
+a hash of the id, and one passage of at most ``PASSAGE_CHARS`` characters at a hashed place of each (of the different texts of a
+repeated id the first passages, so that the bound holds for them, too). Texts of one language quote lines of another; so
 the passages are halved, and a line that the dictionaries of the other half give to another language is left out. Nothing else
 is learned but the languages' order by number of texts, which settles ties. Prediction reads nothing but the text.
 
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from dupescope.llm.common import bounded_batches
 
 PASSAGES, PASSAGE_CHARS = 256, 2000
+#: Languages at most: those of the most labelled texts.
+LANGUAGES = 512
 #: zstandard level, and the characters in a block.
 LEVEL, BLOCK_CHARS = 5, 2048
 MARGIN = 0.01
@@ -45,21 +48,23 @@ def letters(text: str) -> str:
     return NO_LETTERS.sub(" ", text.lower()).strip()
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", passages: int = PASSAGES) -> Dictionaries:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", passages: int = PASSAGES, languages: int = LANGUAGES) -> Dictionaries:
     """Languages, those of more texts first, and their dictionaries. Ids and hashes are ranked first; texts are read for the
-    picked ids alone."""
+    picked ids alone, and at most ``passages`` of a language come to the driver."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
     keys = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("hash"))
+    many = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()}
     picked = keys.withColumn("rank", rank).where(F.col("rank") <= passages).select("id").distinct()
     place = 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit("place")), F.greatest(F.length(text_col) - PASSAGE_CHARS, F.lit(0)) + 1)
     passage = F.col(text_col).substr(place.cast("int"), F.lit(PASSAGE_CHARS))
     texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), passage.alias("passage")).join(F.broadcast(picked), "id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("id", "passage"))
     found: dict[str, list[str]] = {}
-    for r in texts.distinct().orderBy("lang", "id", "passage").collect():
-        found.setdefault(r.lang, []).append(r.passage)
-    many = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    return dictionaries_of({lang: found[lang][:passages] for lang in sorted(found, key=lambda x: (-many[x], x))})
+    for r in texts.distinct().withColumn("n", first).where(F.col("n") <= passages).orderBy("lang", "id", "passage").collect():
+        if r.lang in many:
+            found.setdefault(r.lang, []).append(r.passage)
+    return dictionaries_of({lang: found[lang] for lang in sorted(found, key=lambda x: (-many[x], x))})
 
 
 def dictionaries_of(passages: dict[str, list[str]]) -> Dictionaries:

@@ -4,8 +4,8 @@ Documents become token ids, each followed by an end id. A document of more than
 rest, and every shorter document, goes to the open window that it fills best. A segment tree indexed by remaining capacity
 finds that window in logarithmic time.
 
-The operator is narrow: every task packs the documents of its own partition, holding at most ``buffer_tokens`` ids, and
-nothing is shuffled. Each buffer leaves at most a few windows part-filled among its thousands, so partitions should hold some
+The operator is narrow: every task packs the documents of its own partition, holding at most ``buffer_tokens`` ids in
+``buffer_pieces`` pieces, and nothing is shuffled. Each buffer leaves at most a few windows part-filled among its thousands, so partitions should hold some
 ten megabytes of text (``common.merged_partitions`` merges smaller scan splits).
 
 Defined results: a null text counts as empty and still gives its end id; an empty table gives no rows; repeated rows are
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from dupescope.llm.common import bounded_batches
 from dupescope.llm.tokens import word_ids
 
-#: Ids that a task holds before it packs them.
-BUFFER_TOKENS = 4 << 20
+#: Ids and pieces that a task holds before it packs them; empty texts are pieces of one id.
+BUFFER_TOKENS, BUFFER_PIECES = 4 << 20, 1 << 17
 
 
 class OpenWindows:
@@ -80,7 +80,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return where, offset, n
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", buffer_tokens: int = BUFFER_TOKENS, buffer_pieces: int = BUFFER_PIECES) -> DataFrame:
     """One row for each piece: the id column, ``start`` (ids of the document before it), ``length``, ``doc_tokens``,
     ``sequence_id``, ``offset`` (gapless from 0 in its sequence) and ``ids`` (little-endian unsigned 32-bit integers).
 
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
                 if len(ids) > full * window:
                     held.append((key, full * window, ids[full * window :], len(ids)))
                     size += len(ids) - full * window
-                if size >= buffer_tokens:
+                if size >= buffer_tokens or len(held) >= buffer_pieces:
                     yield from packed()
         if held:
             yield from packed()

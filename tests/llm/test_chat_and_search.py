@@ -189,11 +189,21 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(got, key=lambda r: r.text) == [(3, a), (7, b), (None, c), (9, d)]
 
 
+def test_stages_pass_columns_of_any_name_and_texts_without_languages(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{(i * i + 3 * i) % 53}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a, None, 111, 5), (2, a, None, 112, 6), (3, b, None, 113, 7), (4, None, None, 114, 8)], "doc_id bigint, text string, lang string, _row int, __ROW int")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=lambda r: r[0]) == [(1, a, None, 111, 5), (3, b, None, 113, 7), (4, None, None, 114, 8)]
+    assert corpus_pipeline.language_stage(spark, docs, SF).count() == 4  # nothing is learned, so nothing is rejected
+
+
 def test_registered_queries_run(spark):
     from __spark_entry__ import queries
     from dupescope.llm.queries import REGISTRY
 
-    assert [n.split("_")[0] for n in REGISTRY] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in REGISTRY] == [f"op{i}" for i in range(1, 14)]
     for name in REGISTRY:
         assert queries()[name](spark, SF).count() > 0
     assert "pipeline" in queries()

@@ -36,6 +36,16 @@ def test_languages_apart(spark):
     assert not docs.where("doc_id = 103").select(langid.predict(F.col("text"), alone, docs)["rejected"].alias("r")).first().r
 
 
+def test_bounded_sample_of_repeated_ids_and_many_languages(spark, monkeypatch):
+    """One id on many rows, and many languages: the passages that reach the driver stay bounded."""
+    rows = [(1, f"the house number {i} is on the river bank", "aa") for i in range(60)] + [(2 + i, "der fluss und das haus", f"l{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "dictionaries_of", lambda passages: seen.append(passages) or ())
+    langid.fit(docs, passages=8, languages=4)
+    assert list(seen[0]) == ["aa", "l0", "l1", "l2"] and len(seen[0]["aa"]) == 8
+
+
 def test_sizes_are_of_whole_texts():
     """The winner is the smallest sum of block sizes, by compressing each block anew."""
     import zstandard
@@ -124,6 +134,32 @@ def test_suffix_tree_keeps_rare_passages_of_a_large_corpus(spark):
     assert (suffix_tree.last_word(suffix_tree.joined(contexts, keys), contexts) == keys).all()
 
 
+def test_word_hashes_and_lookup():
+    import pyarrow as pa
+
+    texts = [None, "", "  ", "a", "A b", " a\nb\x0b", "x" * 700_000 + " y", "\xa0é É\x85", "b " * 40_000 + "x" * 700_000]
+    words = [WORD.findall((t or "").translate(LOW)) for t in texts]
+    got = suffix_tree.tokens_of(pa.array(texts, pa.large_string()))
+    assert got.many.tolist() == [len(w) for w in words]
+    hashes, at = {}, 0
+    for own in words:
+        assert got.ids[at] == suffix_tree.BEGIN and got.ids[at + 1 + len(own)] == suffix_tree.END
+        for w, h in zip(own, got.ids[at + 1 :].tolist(), strict=False):
+            assert hashes.setdefault(w, h) == h
+        at += len(own) + 2
+    assert len(set(hashes.values())) == len(hashes)
+    parts = [(lo, suffix_tree.tokens_of(x).many.tolist()) for lo, x in suffix_tree.pieces(pa.array(texts), 9)]
+    assert [n for _, p in parts for n in p] == got.many.tolist() and [lo for lo, _ in parts][:2] == [0, 6]
+    rng = np.random.default_rng(0)
+    keys = np.concatenate([rng.integers(-(1 << 63), 1 << 62, 5000), np.arange(900), np.arange(-900, 0), [(1 << 63) - 1, -(1 << 63)]])
+    keys = np.unique(keys)
+    rng.shuffle(keys)
+    asked = np.concatenate([keys, keys + 1, rng.integers(-(1 << 63), 1 << 62, 5000)])
+    place, hit = suffix_tree.Lookup(keys).find(asked)
+    assert (hit == np.isin(asked, keys)).all() and (keys[place[hit]] == asked[hit]).all()
+    assert not suffix_tree.Lookup(keys[:0]).find(asked)[1].any()
+
+
 def test_next_symbol_chances_sum_to_one(texts):
     streams = [["\x02", *WORD.findall((t or "").translate(LOW)), "\x03"] for t in texts]
     words = Counter(w for s in streams for w in s[1:])
