@@ -30,7 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupescope.operators.positions import top_n
+from dupescope.operators.positions import rank_within, top_n
+from dupescope.session import materialize
 
 SCORE_DIGITS = 10  # scores are compared after rounding: float sums differ by order
 #: Bytes of history and of queries in a cell, and pairs scored at a time in it.
@@ -218,15 +219,46 @@ def rank_by(approaches: str | list[str], queries: DataFrame, history: DataFrame,
 
 
 # ---------------------------------------------------------------- JOIN-8
+#: Rows of one side that a task meets in a bucket, and positions of equal query vectors that are sent as one.
+BUCKET_ROWS, SAME = 4096, 1024
+
+
+def _bucket(n: int):
+    """The best ``n`` of each query of a bucket's cell; a node is a vector and the positions that have it."""
+
+    def score(hdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(hdf) and len(qdf):
+            firsts = [np.asarray(x, dtype=np.int64) for x in hdf["positions"]]
+            positions, node = np.concatenate(firsts), np.repeat(np.arange(len(firsts)), [len(x) for x in firsts])
+            h_vec = np.stack([np.asarray(x, dtype=np.float64) for x in hdf["vec"]])
+            for own, vec in zip(qdf["positions"], qdf["vec"]):
+                values = (h_vec @ np.asarray(vec, dtype=np.float64))[node]
+                order = np.lexsort((positions, -np.round(values, SCORE_DIGITS)))
+                ranked, of = positions[order], values[order]
+                for p in np.asarray(own, dtype=np.int64):
+                    top = np.flatnonzero(ranked < p)[:n]
+                    found.append((np.full(len(top), p), ranked[top], of[top]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query_pos", "cand_pos", "score"), columns)))
+
+    return score
+
+
 def lsh_dense_topk(queries: DataFrame, history: DataFrame, n: int, vec_col: str = "vector",
-                   planes: int = 8, tables: int = 96, seed: int = 42, dim: int | None = None) -> DataFrame:
+                   planes: int = 8, tables: int = 96, seed: int = 42, dim: int | None = None,
+                   bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Approximate dense candidates (sign random projections) with an exact
     inner-product re-rank. Candidates still obey ``cand_pos < query_pos``.
 
     Two unit vectors at angle ``a`` share a table's key with probability
     ``(1 - a/pi)^planes``, so a neighbour is met with ``1 - (1 - that)^tables``
     and an unrelated pair (a = pi/2) with about ``tables / 2^planes`` of the
-    tables. A pair is compared once, in the first table that it shares.
+    tables. Equal vectors are one node: of the history with its first ``n``
+    positions, as later ones can't be in any list, of the queries with up to
+    ``SAME`` positions. A bucket of more than ``bucket_rows`` nodes on either
+    side is dealt out as a grid of cells. A cell scores its pairs and hands on
+    the best ``n`` of each query, so no pair of a bucket becomes a row.
     """
     d = dim or history.select(F.size(vec_col)).first()[0]
     normals = np.random.default_rng(seed).standard_normal((tables, planes, d))
@@ -237,14 +269,30 @@ def lsh_dense_topk(queries: DataFrame, history: DataFrame, n: int, vec_col: str
         bits = np.einsum("nd,tpd->ntp", v, normals) > 0
         return pd.Series(list((bits @ (1 << np.arange(planes))).astype(np.int32)))
 
-    h = history.select(F.col("pos").alias("cand_pos"), F.col("id").alias("cand_id"), F.col("disc_id").alias("cand_disc"),
-                       l2_normalize(F.col(vec_col)).alias("h_vec"), keys(F.col(vec_col)).alias("h_keys"))
-    q = queries.select("query_pos", "query_id", F.transform(vec_col, lambda x: x.cast("double")).alias("q_vec"), keys(F.col(vec_col)).alias("q_keys"))
-    met = (h.select("*", F.posexplode("h_keys").alias("t", "key"))
-           .join(q.select("*", F.posexplode("q_keys").alias("t", "key")), ["t", "key"])
-           .where(F.col("cand_pos") < F.col("query_pos")))
-    same = F.zip_with("h_keys", "q_keys", lambda a, b: a == b)
-    pairs = met.where(F.array_position(same, True) == F.col("t") + 1)
-    scored = pairs.select("query_pos", "query_id", "cand_pos", "cand_id", "cand_disc", dot(F.col("h_vec"), F.col("q_vec")).alias("score"))
-    rounded = scored.withColumn("_sr", F.round("score", SCORE_DIGITS))
-    return top_n(rounded, n, "query_pos", "_sr", "cand_pos").drop("_sr")
+    def numbered(df: DataFrame, pos: str, vec: Column) -> DataFrame:
+        """``place``: rank of a position among those of the same vector."""
+        rows = df.select(F.col(pos).alias("pos"), vec.alias("vec")).withColumn("same", F.sha2(F.to_json("vec"), 256))
+        return rank_within(rows, ["same"], ["pos"], "place")
+
+    def filed(nodes: DataFrame) -> DataFrame:
+        return nodes.select("same", "vec", "positions", F.posexplode(keys("vec")).alias("t", "key"))
+
+    h = numbered(history, "pos", l2_normalize(F.col(vec_col))).where(F.col("place") < n)
+    q = numbered(queries, "query_pos", F.transform(vec_col, lambda x: x.cast("double")))
+    node = [F.first("vec").alias("vec"), F.sort_array(F.collect_list("pos")).alias("positions")]
+    h = materialize(h.groupBy("same").agg(*node))
+    q = materialize(q.groupBy("same", F.expr(f"place div {SAME}").alias("share")).agg(*node))
+    h, q = filed(h), filed(q)
+    sizes = h.groupBy("t", "key").agg(F.count(F.lit(1)).alias("nh")).join(q.groupBy("t", "key").agg(F.count(F.lit(1)).alias("nq")), ["t", "key"])
+    sizes = materialize(sizes.select("t", "key", *(F.ceil(F.col(c) / F.lit(bucket_rows)).cast("int").alias(c) for c in ("nh", "nq"))))
+    hashed = F.xxhash64("same", F.element_at("positions", 1))
+    cell = lambda df, own, other, a, b: df.join(sizes, ["t", "key"]).withColumn(a, F.pmod(hashed, F.col(own)).cast("int")).withColumn(
+        b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("t", "key", "hg", "qg", "vec", "positions")
+    h_cells, q_cells = cell(h, "nh", "nq", "hg", "qg"), cell(q, "nq", "nh", "qg", "hg")
+    score, place = _bucket(n), ["t", "key", "hg", "qg"]
+    met = h_cells.groupBy(place).cogroup(q_cells.groupBy(place)).applyInPandas(lambda a, b: score(a, b), SCORED_SCHEMA)
+    once = met.groupBy("query_pos", "cand_pos").agg(F.max("score").alias("score"))
+    best = top_n(once.withColumn("_sr", F.round("score", SCORE_DIGITS)), n, "query_pos", "_sr", "cand_pos").drop("_sr")
+    ids = history.select(F.col("pos").alias("cand_pos"), F.col("id").alias("cand_id"), F.col("disc_id").alias("cand_disc"))
+    named = best.join(ids, "cand_pos").join(queries.select("query_pos", "query_id"), "query_pos")
+    return named.select("query_pos", "query_id", "cand_pos", "cand_id", "cand_disc", "score", "rank")

@@ -179,8 +179,9 @@ def oracle_sql() -> dict[str, str]:
     from dupescope.plans.coverage_oracle import ORACLES as more
     from dupescope.plans.pair_queries import ORACLES as pairs
     from dupescope.plans.pruned_queries import ORACLES as pruned
+    from dupescope.plans.sentence_queries import ORACLES as sentences
 
-    return {name: fn() for name, fn in (ORACLES | more | pairs | pruned).items()}
+    return {name: fn() for name, fn in (ORACLES | more | pairs | pruned | sentences).items()}
 
 
 # ---------------------------------------------------------------- text queries

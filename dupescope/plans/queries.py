@@ -44,7 +44,7 @@ REGISTRY = {
 
 
 def _merge():
-    from dupescope.plans import corpus_queries, coverage_queries, example_queries, pair_queries, pruned_queries, stream_queries, text_queries
+    from dupescope.plans import corpus_queries, coverage_queries, example_queries, pair_queries, pruned_queries, sentence_queries, stream_queries, text_queries
     REGISTRY.update(text_queries.REGISTRY)
     REGISTRY.update(corpus_queries.REGISTRY)
     REGISTRY.update(example_queries.REGISTRY)
@@ -52,6 +52,7 @@ def _merge():
     REGISTRY.update(coverage_queries.REGISTRY)
     REGISTRY.update(pair_queries.REGISTRY)
     REGISTRY.update(pruned_queries.REGISTRY)
+    REGISTRY.update(sentence_queries.REGISTRY)
 
 
 _merge()

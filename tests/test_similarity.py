@@ -90,3 +90,17 @@ def test_lsh_recall(spark):
     near = {(r.query_pos, r.cand_pos): r.score for r in S.lsh_dense_topk(q, history, 5).collect()}
     assert len(set(exact) & set(near)) >= 0.9 * len(exact)
     assert all(abs(exact[p] - near[p]) < 1e-9 for p in set(exact) & set(near))
+
+
+def test_lsh_with_copies_in_split_buckets(spark):
+    """A third of all rows are one vector; every bucket is dealt out as cells of few rows; lists equal those of whole buckets."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((150, 8)).round(1)
+    v[::3] = v[0]
+    history = spark.createDataFrame([(i, 10 + i, 0, x.tolist()) for i, x in enumerate(v)], "pos bigint, id bigint, disc_id bigint, vector array<double>")
+    q = history.filter("pos >= 60").select(F.col("pos").alias("query_pos"), F.col("id").alias("query_id"), "vector")
+    key = lambda df: sorted((r.query_pos, r.rank, r.cand_pos, r.cand_id, round(r.score, 8)) for r in df.collect())
+    whole, split = key(S.lsh_dense_topk(q, history, 4, planes=3, tables=40)), key(S.lsh_dense_topk(q, history, 4, planes=3, tables=40, bucket_rows=3))
+    exact = key(S.dense_topk(q, history, 4))
+    assert whole == split and len(set(whole) & set(exact)) >= 0.95 * len(exact)
+    assert [r[2] for r in whole if r[0] == 60] == [0, 3, 6, 9]
