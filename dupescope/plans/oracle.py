@@ -180,8 +180,9 @@ def oracle_sql() -> dict[str, str]:
     from dupescope.plans.pair_queries import ORACLES as pairs
     from dupescope.plans.pruned_queries import ORACLES as pruned
     from dupescope.plans.sentence_queries import ORACLES as sentences
+    from dupescope.plans.together_queries import ORACLES as together
 
-    return {name: fn() for name, fn in (ORACLES | more | pairs | pruned | sentences).items()}
+    return {name: fn() for name, fn in (ORACLES | more | pairs | pruned | sentences | together).items()}
 
 
 # ---------------------------------------------------------------- text queries

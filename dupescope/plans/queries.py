@@ -44,7 +44,8 @@ REGISTRY = {
 
 
 def _merge():
-    from dupescope.plans import corpus_queries, coverage_queries, example_queries, pair_queries, pruned_queries, sentence_queries, stream_queries, text_queries
+    from dupescope.plans import (corpus_queries, coverage_queries, example_queries, pair_queries, pruned_queries,
+                                 sentence_queries, stream_queries, text_queries, together_queries)
     REGISTRY.update(text_queries.REGISTRY)
     REGISTRY.update(corpus_queries.REGISTRY)
     REGISTRY.update(example_queries.REGISTRY)
@@ -53,6 +54,7 @@ def _merge():
     REGISTRY.update(pair_queries.REGISTRY)
     REGISTRY.update(pruned_queries.REGISTRY)
     REGISTRY.update(sentence_queries.REGISTRY)
+    REGISTRY.update(together_queries.REGISTRY)
 
 
 _merge()
