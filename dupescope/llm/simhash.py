@@ -10,7 +10,11 @@ key holds the first 12 bits and ``depth`` such halves (2, 5 or 14 ways for each
 lose no pair either; ``depth`` follows the logarithm of their number.
 
 Keys are sorted within partitions and compared there in blocks. A task gives the links of a key's fingerprints as a spanning
-forest, so copies in thousands give rows in thousands, not all their pairs, and a key's groups need eight bytes a member.
+forest, so copies in thousands give rows in thousands, not all their pairs. A key of more than ``HOT`` fingerprints is not
+compared: its members are handed on and get longer keys, each way of ``depth`` halves by those ways of ``depth + 1`` that
+continue it, and after the last half by 3 of the 7 segments of 4 bits that are left (4 bits can touch 4 of them). These last
+keys hold 48 of 64 bits, so 65,536 different fingerprints at most. Keys that a sample of the fingerprints shows to be hot get
+longer before the shuffle; the sample settles only where a row goes, the links are the same.
 Equal fingerprints are one node from the start. Components grow by alternating large and small stars, each step a written table.
 
 Defined results: a null or wordless text has fingerprint zero, which links like any other; texts of fewer words than a shingle
@@ -21,6 +25,7 @@ their row; an empty table gives no rows; other columns of the input are not read
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +44,14 @@ CHAIN = ((3, 0), (7, 1), (11, 2), (15, 3), (16, 4))
 SMALL_GROUP = 16
 #: Pairs compared at a time in a larger group.
 BLOCK_PAIRS = 1 << 20
+#: Fingerprints of one key that are compared in one task; keys of more are made longer.
+HOT = 1 << 12
+#: A fingerprint of more than this part of all documents has its component broadcast, so that it isn't hot in the last join.
+HOT_SHARE = 1 << 10
+#: Fingerprints, about, that are drawn to see which keys are hot.
+SAMPLE = 1 << 16
+#: A key: the start, the way, and 48 bits at most that must be equal. The longest keys have 35 ways to go on.
+START_BIT, WAY_BIT, LAST_WAYS = 57, 48, 35
 #: Hashes whose bits are counted at a time.
 COUNT_HASHES = 1 << 17
 
@@ -83,20 +96,78 @@ def untouched(depth: int) -> list[tuple[int, ...]]:
     return [c for c in combinations(range(2 * depth), depth) if all(sum(h < 2 * g for h in c) >= g for g in range(1, depth + 1))]
 
 
+def _start() -> Column:
+    return F.shiftrightunsigned("key", START_BIT)
+
+
+def _turned(start: Column) -> Column:
+    """The ring's 64 bits from segment ``start`` on."""
+    by = (start * BITS).cast("int")
+    return F.when(by == 0, F.col("fp")).otherwise(F.call_function("shiftleft", F.col("fp"), by).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), 64 - by)))
+
+
+def _bits(at: int, many: int) -> Column:
+    """``many`` bits of the turned ring from bit ``at`` on, counted from the highest."""
+    return F.shiftrightunsigned("turned", 64 - at - many).bitwiseAND(F.lit((1 << many) - 1))
+
+
+def _key(value: Column, way: int) -> Column:
+    return value.bitwiseOR(F.shiftleft(F.col("start").cast("bigint"), START_BIT)).bitwiseOR(F.lit(way << WAY_BIT).cast("bigint"))
+
+
+def _half(h: int) -> int:
+    return 3 * BITS + 8 * h
+
+
 def chain_keys(nodes: DataFrame, depth: int) -> DataFrame:
     """``key`` and ``fp``, a row for each key: start, way, and the bits that must be equal."""
-    turned = F.expr(f"CASE WHEN start = 0 THEN fp ELSE shiftleft(fp, {BITS} * start) | shiftrightunsigned(fp, 64 - {BITS} * start) END")
-    rings = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("start")).select("fp", "start", turned.alias("turned"))
+    rings = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("start")).select("fp", "start", _turned(F.col("start")).alias("turned"))
 
     def key(way: int, halves: tuple[int, ...]) -> Column:
-        value = F.shiftrightunsigned("turned", 52)
+        value = _bits(0, 3 * BITS)
         for h in halves:
-            value = F.shiftleft(value, 8).bitwiseOR(F.shiftrightunsigned("turned", 64 - 20 - 8 * h).bitwiseAND(F.lit(255)))
-        return value.bitwiseOR(F.shiftleft(F.col("start").cast("bigint"), 44)).bitwiseOR(F.lit(way << 40))
+            value = F.shiftleft(value, 8).bitwiseOR(_bits(_half(h), 8))
+        return _key(value, way)
 
     return rings.select(F.explode(F.array(*(key(w, halves) for w, halves in enumerate(untouched(depth))))).alias("key"), "fp")
 
 
+def longer_keys(keyed: DataFrame, depth: int) -> DataFrame:
+    """The rows of ``keyed`` (keys of ``depth`` halves) with each key continued in every way of ``depth + 1``. Fingerprints that
+    share a key of ``depth + 1`` share the one that it continues, so a pair that links meets again."""
+    ways = untouched(depth)
+    after = {halves: w for w, halves in enumerate(untouched(depth + 1))} if depth < 3 else {}
+    rows = keyed.select("fp", _start().alias("start"), F.shiftrightunsigned("key", WAY_BIT).bitwiseAND(F.lit((1 << START_BIT - WAY_BIT) - 1)).alias("way"), F.col("key").bitwiseAND(F.lit((1 << WAY_BIT) - 1)).alias("value"))
+    rows = rows.select("fp", "start", "way", "value", _turned(F.col("start")).alias("turned"))
+
+    if depth == 3:
+        left = F.lit([[_half(h) + at for h in range(6) if h not in halves for at in (0, BITS)] + [64 - BITS] for halves in ways])
+        three = F.lit([list(c) for c in combinations(range(7), 3)])
+        rows = rows.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(LAST_WAYS - 1))))
+        value = F.col("value")
+        for k in range(3):
+            at = F.get(F.get(left, F.col("way").cast("int")), F.get(F.get(three, F.col("sub")), F.lit(k)))
+            value = F.shiftleft(value, BITS).bitwiseOR(F.call_function("shiftrightunsigned", F.col("turned"), 64 - BITS - at).bitwiseAND(F.lit((1 << BITS) - 1)))
+        return rows.select(_key(value, 0).bitwiseOR(F.shiftleft(F.col("way") * LAST_WAYS + F.col("sub"), WAY_BIT)).alias("key"), "fp")
+
+    def on(halves: tuple[int, ...]) -> Column:
+        return F.array(*(_key(F.shiftleft("value", 8).bitwiseOR(_bits(_half(h), 8)), after[*halves, h]) for h in range(halves[-1] + 1, 2 * depth + 2) if (*halves, h) in after))
+
+    every = F.coalesce(*(F.when(F.col("way") == w, on(halves)) for w, halves in enumerate(ways)))
+    return rows.select(F.explode(every).alias("key"), "fp")
+
+
+def hot_keys(keyed: DataFrame, n: int) -> DataFrame | None:
+    """Keys that hold more than ``HOT`` of ``n`` fingerprints as a sample of about ``SAMPLE`` of them tells; None if there are none.
+    At most 2048 for each start and way, since each needs 32 fingerprints of the sample at least."""
+    if n <= HOT:
+        return None
+    rate = min(1.0, SAMPLE / n)
+    drawn = keyed.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < rate * (1 << 40))
+    hot = written(drawn.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > max(32.0, HOT * rate)).select("key"), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
 def depth_for(n: int) -> int:
     """So that a key of unrelated fingerprints holds about one or a few."""
     return 1 if n < 1 << 20 else 2 if n < 1 << 29 else 3
@@ -140,35 +211,78 @@ def links_of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     small = np.repeat(size <= SMALL_GROUP, size)
     for lag in range(1, int(min(SMALL_GROUP, size.max(initial=1)))):
         at = np.flatnonzero((keys[lag:] == keys[:-lag]) & small[lag:])
-        at = at[linked(fps[at], fps[at + lag], keys[at] >> 44)]
+        at = at[linked(fps[at], fps[at + lag], keys[at] >> START_BIT)]
         found.append((fps[at], fps[at + lag]))
-    found += [forest(fps[begin[g] : end[g]], int(keys[begin[g]] >> 44)) for g in np.flatnonzero(size > SMALL_GROUP).tolist()]
+    found += [forest(fps[begin[g] : end[g]], int(keys[begin[g]] >> START_BIT)) for g in np.flatnonzero(size > SMALL_GROUP).tolist()]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (fps[:0], fps[:0])
 
 
-def links(nodes: DataFrame, n: int) -> DataFrame:
-    """``u`` and ``v``: links that join the fingerprints ``fp`` (all different, ``n`` of them) as all links would."""
+def compared(keyed: DataFrame, most: int) -> DataFrame:
+    """``u``, ``v`` and ``key``: links within keys of at most ``most`` fingerprints (key null), and the rows of larger keys as
+    they came (v null). A task holds a batch and ``most`` members."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    def rows(u: np.ndarray, v: np.ndarray | None, keys: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(u), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            none = pa.nulls(len(u[at]), pa.int64())
+            yield pa.record_batch([pa.array(u[at].view(np.int64)), none if v is None else pa.array(v[at].view(np.int64)), none if keys is None else pa.array(keys[at])], names=["u", "v", "key"])
 
-        def rows(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(u), 1 << 16):
-                yield pa.record_batch([pa.array(x[lo : lo + (1 << 16)].view(np.int64)) for x in (u, v)], names=["u", "v"])
+    def closed(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+        large = np.repeat(np.diff(cuts) > most, np.diff(cuts))
+        yield from rows(fps[large], None, keys[large])
+        if not large.all():
+            yield from rows(*links_of(keys[~large], fps[~large]), None)
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, passed = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), None
         for b in batches:
+            if not b.num_rows:
+                continue
             keys = np.concatenate([keys, b.column(0).to_numpy()])
             fps = np.concatenate([fps, b.column(1).to_numpy().view(np.uint64)])
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on in the next batch
+            if passed is not None:  # the key that was found too large goes on
+                more = int(np.searchsorted(keys, passed, side="right"))
+                yield from rows(fps[:more], None, keys[:more])
+                keys, fps, passed = keys[more:], fps[more:], passed if more == len(keys) else None
+                if not len(keys):
+                    continue
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
             if whole:
-                yield from rows(*links_of(keys[:whole], fps[:whole]))
+                yield from closed(keys[:whole], fps[:whole])
                 keys, fps = keys[whole:], fps[whole:]
+            if len(keys) > most:
+                passed = int(keys[-1])
+                yield from rows(fps, None, keys)
+                keys, fps = keys[:0], fps[:0]
         if len(keys):
-            yield from rows(*links_of(keys, fps))
+            yield from closed(keys, fps)
 
-    keyed = chain_keys(nodes.select("fp"), depth_for(n))
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(task, "u bigint, v bigint").distinct()
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(task, "u bigint, v bigint, key bigint")
+
+
+def links(nodes: DataFrame, n: int) -> DataFrame:
+    """``u`` and ``v``: links that join the fingerprints ``fp`` (all different, ``n`` of them) as all links would."""
+    depth = depth_for(n)
+    keyed, found = chain_keys(nodes.select("fp"), depth), []
+    for depth in range(depth, 5):
+        last = depth == 4
+        hot = None if last else hot_keys(keyed, n)
+        cold = keyed if hot is None else keyed.join(F.broadcast(hot), "key", "left_anti")
+        out = compared(cold, 1 << 16 if last else HOT)
+        if n <= HOT:  # no key can be larger
+            found.append(out.select("u", "v"))
+            break
+        out = written(out, f"links-{depth}")
+        found.append(out.where("key IS NULL").select("u", "v"))
+        large = out.where("key IS NOT NULL").select("key", F.col("u").alias("fp"))
+        if last or (hot is None and large.isEmpty()):
+            break
+        if hot is not None:
+            large = large.unionByName(keyed.join(F.broadcast(hot), "key", "left_semi").select("key", "fp"))
+        keyed = longer_keys(large, depth)
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -201,10 +315,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row for each document: the id column, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest id reachable by
     fingerprints that differ in at most 4 bits)."""
     prints = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "fingerprint-nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("many")), "fingerprint-nodes")
     stars = components(links(nodes, nodes.count()))
     roots = stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     rooted = roots.join(nodes, "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    named = nodes.join(rooted.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = nodes.join(rooted.join(least, "root").select("fp", "least"), "fp", "left").select("fp", "many", F.coalesce("least", "first").alias("component_id"))
+    share = max(1, (nodes.agg(F.sum("many")).first()[0] or 0) // HOT_SHARE)
+    named = written(named, "fingerprint-names")
+    hot = F.broadcast(named.where(F.col("many") > share).select("fp", "component_id"))  # fewer than HOT_SHARE rows
+    joined = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(named.select("fp", "component_id"), "fp"))
+    return joined.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

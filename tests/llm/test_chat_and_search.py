@@ -71,9 +71,11 @@ def flipped(rng, fp, n):
     return fp
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_links_lose_nothing(spark, depth, monkeypatch):
+@pytest.mark.parametrize(("depth", "hot", "sample"), [(1, 1 << 12, 1 << 16), (2, 1 << 12, 1 << 16), (3, 1 << 12, 1 << 16), (1, 3, 1), (1, 20, 1 << 16), (2, 3, 1), (3, 3, 100)])
+def test_links_lose_nothing(spark, depth, hot, sample, monkeypatch):
     monkeypatch.setattr(simhash, "depth_for", lambda n: depth)
+    monkeypatch.setattr(simhash, "HOT", hot)  # keys of more go on, down to the last ones
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
     monkeypatch.setattr(simhash, "BLOCK_PAIRS", 64)
     rng = random.Random(depth)
     fps = {rng.getrandbits(64) for _ in range(40)} | {0, (1 << 64) - 1}
@@ -99,6 +101,39 @@ def test_links_lose_nothing(spark, depth, monkeypatch):
     assert parts([top(i) for i in range(len(fps))]) == parts(brute_components(fps))
 
 
+def test_longer_keys_continue_every_pair():
+    for depth in (1, 2):
+        assert {w[:-1] for w in simhash.untouched(depth + 1)} == set(simhash.untouched(depth))
+
+
+def test_many_fingerprints_under_one_key(spark, monkeypatch):
+    """Different fingerprints with the same first 40 bits: no task compares more than HOT of a key, and no link is lost."""
+    rng = np.random.default_rng(11)
+    low = np.unique(rng.integers(0, 1 << 24, 6000))
+    fps = np.unique(np.concatenate([low, low[:300] ^ (1 << 23), rng.integers(1 << 40, 1 << 62, 500)]).astype(np.int64))
+    monkeypatch.setattr(simhash, "HOT", 128)
+    sizes = []
+    group = simhash.compared
+    monkeypatch.setattr(simhash, "compared", lambda keyed, most: sizes.append(most) or group(keyed, most))
+    edges = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(int(f),) for f in fps], "fp bigint"), len(fps)).collect()}
+    assert len(sizes) > 1 and max(sizes[:-1]) == 128
+    assert all((u ^ v).bit_count() <= 4 for u, v in edges)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    up = {int(f): int(f) for f in fps}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for u, v in edges:
+        up[top(u)] = top(v)
+    roots = np.array([top(int(f)) for f in fps])
+    a, b = np.nonzero(near)
+    assert (roots[a] == roots[b]).all()
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(200, 260)] + [(7, 7)]
     got = {r.u: r.v for r in simhash.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
