@@ -104,3 +104,21 @@ def test_lsh_with_copies_in_split_buckets(spark):
     exact = key(S.dense_topk(q, history, 4))
     assert whole == split and len(set(whole) & set(exact)) >= 0.95 * len(exact)
     assert [r[2] for r in whole if r[0] == 60] == [0, 3, 6, 9]
+
+
+@pytest.mark.parametrize("kind", ["dense", "blend"])
+def test_small_cells_are_sent_together(spark, monkeypatch, kind):
+    history, _ = _history(spark)
+    queries = _queries(history, 100)
+    scorer = {"dense": S.dense_topk, "blend": S.blend_topk}[kind]
+    lists = lambda **o: sorted((r.query_pos, r["rank"], r.cand_pos, round(r.score, 9)) for r in scorer(queries, history, 5, **o).collect())
+    asked, made = [], S._cell
+    monkeypatch.setattr(S, "_cell", lambda *a: asked.append(a[-1]) or made(*a))
+    whole = lists()
+    groups = []
+    ceil = S.math.ceil
+    monkeypatch.setattr(S.math, "ceil", lambda x: groups.append(ceil(x)) or ceil(x))
+    assert lists(cell_bytes=200) == whole and asked[-1] == 200
+    assert groups == [1, 1]  # before: one cell of the shuffle for each 200 bytes
+    monkeypatch.setattr(S, "CELL_BYTES", 600)  # the grid that larger tables get
+    assert lists(cell_bytes=600) == whole and min(groups[2:]) > 1
