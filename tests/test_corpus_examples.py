@@ -88,3 +88,26 @@ def test_builders_by_name(spark):
     assert X.build_examples("sts", s).where("label = 1.0").count() == 19
     with pytest.raises(ValueError, match="known: mlm, nsp, sase, sts, tsdae"):
         X.build_examples("other", s)
+
+
+def test_mean_vectors_drawn_in_their_groups(spark):
+    rows = [(i, [f"w{i % 7}", "hot", f"w{i}"] * (i % 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "pos bigint, tokens array<string>")
+    vocab = spark.createDataFrame([("hot",)] + [(f"w{i}",) for i in range(0, 60, 2)], "word string")
+    stored = {r.word: r.vector for r in V.random_vectors(vocab, 6).collect()}
+    for opts in ({}, {"group_rows": 7}, {"group_rows": 7, "draw": lambda words: V.drawn(words, 6)}):
+        vectors = vocab if "draw" in opts else V.random_vectors(vocab, 6)
+        for r in V.mean_vectors(docs, vectors, 6, **opts).collect():
+            own = [stored[w] for w in r.tokens if w in stored]
+            want = [sum(x) / len(own) for x in zip(*own)] if own else [0.0] * 6
+            assert all(abs(a - b) < 1e-12 for a, b in zip(r.vector, want))
+
+
+def test_drawn_vectors_are_the_hash_draws(spark):
+    from dupescope.functions.hashing import four_draws
+    words = spark.createDataFrame([("plain",), ("naïve",), ("",), (None,)], "word string")
+    draws = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda g: four_draws(F.col("word"), g, seed=7)))
+    want = {r.word: r.d[:10] for r in words.select("word", draws.alias("d")).collect()}
+    got = V.drawn(list(want), 10, seed=7)
+    assert {w: list(v) for w, v in zip(want, got)} == want
+    assert (V.drawn(["plain"], 10, seed=7, centred=True) == (got[list(want).index("plain")] - 0.5) / 10).all()
