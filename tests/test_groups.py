@@ -39,3 +39,16 @@ def test_no_occurrence_is_sent_by_itself(spark):
     for made in (V.mean_vectors(docs, vocab, 4, draw=lambda words: V.drawn(words, 4)), C.tfidf_features(docs, idf)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list" not in plan and "Aggregate [_g" in plan  # before: a row, or an item of a list, for each occurrence
+
+
+def test_word_overlap_sends_no_weights(spark, monkeypatch):
+    """A word that weighs 1 needs no weight beside it: half the bytes of a cell."""
+    from dupescope.operators import similarity as S
+    docs = spark.createDataFrame([(i, i, i, [f"w{j}" for j in range(i % 7)]) for i in range(30)], "pos bigint, id bigint, disc_id bigint, tokens array<string>")
+    queries = docs.where("pos >= 25").select(F.col("pos").alias("query_pos"), F.col("id").alias("query_id"), "tokens")
+    sized, sent = S._sized, []
+    monkeypatch.setattr(S, "_sized", lambda df, arrays: sent.append(arrays) or sized(df, arrays))
+    ranked = S.overlap_topk(queries, docs, 2).collect()
+    assert sent == [["h_terms"], ["q_terms"]]
+    want = {q: sorted(range(q), key=lambda c: (-min(q % 7, c % 7), -c))[:2] for q in range(25, 30)}
+    assert {q: [r.cand_pos for r in sorted(ranked, key=lambda r: r["rank"]) if r.query_pos == q] for q in want} == want
