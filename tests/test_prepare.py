@@ -44,3 +44,11 @@ def test_reports_are_cleaned_once_and_written_once(spark, monkeypatch):
     assert not any("Filter" in line and "regexp_replace" in line for line in plan.split("\n"))  # before: cleaned in the filter, too
     by_text = R.prepare_reports(raw, order_cols=["summary", "id"]).orderBy("pos").collect()
     assert [r.summary is None for r in by_text] == sorted((r.summary is None for r in by_text), reverse=True)
+
+
+def test_steps_are_left_out_without_a_search(spark):
+    df = spark.createDataFrame(list(enumerate(_texts())), "id bigint, text string")
+    plan = df.select(T.remove_noise("text").alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?!)" not in plan and "translate(" not in plan  # before: every text was decoded and searched for each step
+    rows = df.select("text", T.flatten_whitespace("text").alias("flat")).collect()
+    assert all(r.flat == (r.text and r.text.replace("\n", " ").replace("\t", " ")) for r in rows)
