@@ -50,3 +50,23 @@ def test_overlay_settled_on_words(spark):
     draw = lambda d: V.random_vectors(d, 3), lambda d: V.random_vectors(d, 3, seed=7)
     key = lambda df: sorted(((r.word or ""), r.vector) for r in df.collect())
     assert key(V.overlay_pretrained(own, pre, draw)) == key(V.overlay_pretrained(draw[0](own), draw[1](pre)))
+
+
+def test_unseen_words_send_no_train_vector(spark):
+    words = ["printer", "printing", "reprint", "jam", "jam", "jammed", None, "a", "zzz"]
+    train = spark.createDataFrame([(w,) for w in words], "word string")
+    asked = spark.createDataFrame([(w,) for w in ("printed", "jams", "qqq", "zz", None)], "word string")
+    plain = V.subword_vectors(V.random_vectors(train, 6))
+    drawn = V.subword_vectors(train, dim=6, draw=lambda w: V.drawn(w, 6))
+    wanted = V.subword_vectors(train, dim=6, draw=lambda w: V.drawn(w, 6), wanted=V.word_grams(asked))
+    rows = lambda df, k: {r[k]: [round(x, 9) for x in r.vector] for r in df.collect()}
+    want = rows(plain, "gram")
+    assert rows(drawn, "gram") == want and len(want) > 50
+    some = {r.gram for r in V.word_grams(asked).collect()}
+    assert rows(wanted, "gram") == {g: v for g, v in want.items() if g in some}
+    got = rows(V.oov_vectors(asked, wanted), "word")
+    assert got == rows(V.oov_vectors(asked, plain), "word") and set(got) == {"printed", "jams", "zz"}
+    known = [want[g] for g in sorted({r.gram for r in V.word_grams(asked).where("word = 'jams'").collect()}) if g in want]
+    assert all(abs(a - sum(b) / len(known)) < 1e-6 for a, b in zip(got["jams"], zip(*known)))
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "vector_to_array" not in plan and "array_to_vector" not in plan  # before: each n-gram carried its word's vector
