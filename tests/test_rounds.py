@@ -1,8 +1,8 @@
 """The grid sends its rows in rounds, and what is shuffled for a table goes with its writing."""
 
 import glob
-import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -47,12 +47,15 @@ def test_rounds_give_the_lists_of_one_grid(spark, monkeypatch, kind):
     assert all(a < b for spans, _ in sent for a, b in filter(None, spans))
 
 
-def test_a_table_leaves_no_shuffle_behind(spark, tmp_path):
-    local = spark.conf.get("spark.local.dir", None) or os.environ.get("SPARK_LOCAL_DIRS") or "/tmp"
-    files = lambda: set(glob.glob(f"{local}/blockmgr-*/*/shuffle_*.data"))
+def test_a_table_leaves_no_shuffle_behind(spark):
+    own = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())  # other sessions write beside them
+    files = lambda: {f for d in own for f in glob.glob(f"{d}/*/shuffle_*.data")}
     rows = spark.range(20000).select("id", F.xxhash64("id").alias("x")).repartition(4, "x")
     before, was = files(), spark.conf.get(session.DROP_SHUFFLES)
     table = session.materialize(rows.groupBy((F.col("x") % 7).alias("k")).agg(F.count("*").alias("n")))
+    until = time.time() + 20  # executors drop the files a moment later
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
     assert not files() - before  # before: they stayed until the driver's garbage collection
     assert spark.conf.get(session.DROP_SHUFFLES) == was and table.agg(F.sum("n")).first()[0] == 20000
 
